@@ -92,7 +92,7 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_repaired_lines, p2_found, p2_verdicts, p2_refreshed_history, p3_found, p3_pieces, p5_found,
-        p5_redacted_findings, p6_found, p6_leaks, p7_source_shares, p7_mixture, p8_found, p8_sentences)}
+        p5_redacted_findings, p6_found, p6_leaks, p7_mixture, p7_source_shares, p8_found, p8_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
