@@ -119,7 +119,7 @@ def github_checksum(token: Column) -> Column:
 def luhn(digits: Column) -> Column:
     """Luhn check over the digits of a value with 8 or more; null otherwise."""
     only = F.regexp_replace(digits, r"\D", "")
-    return F.when(F.length(only) >= 8, F.luhn_check(only))
+    return F.when(F.length(only) >= 8, F.call_function("luhn_check", only))
 
 
 def contains_word(value: Column, words: Sequence[str]) -> Column:
