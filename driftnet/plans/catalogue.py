@@ -17,7 +17,7 @@ from driftnet.operators import report, state, verify
 from driftnet.operators.scan import ScanOptions, rule_matches, scan, token_matches
 from driftnet.plans import rules
 from driftnet.sources import files, versions, web
-from driftnet.storage import fresh_path
+from driftnet.storage import fresh_path, spread
 from driftnet.streaming import scan as stream
 
 
@@ -53,11 +53,11 @@ _STATES = """
 def document_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     name = F.concat_ws("/", F.coalesce("repo", F.lit("documents")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return docs.select("doc_id", name.alias("logical_path"), "text")
+    return spread(docs.select("doc_id", name.alias("logical_path"), "text"))
 
 
 def stored_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "blob_texts").select("blob_id", "logical_path", "source_path", "text", "is_binary", "media_type", "line_offset", "commit_line")
+    return spread(table(spark, sf_dir, "blob_texts").select("blob_id", "logical_path", "source_path", "text", "is_binary", "media_type", "line_offset", "commit_line"))
 
 
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +398,7 @@ def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(6):
         n, tail = n // 62, validate.BASE62[n % 62] + tail
     rows = _fixture(spark, [("right", "ghp" + "_" + body + tail), ("wrong", "ghp" + "_" + body + "000000"), ("other", "token")], "name string, token string")
-    return rows.select("name", validate.github_checksum(F.col("token")).alias("valid"), validate.luhn(F.lit("4539 1488 0343 6467")).alias("luhn"))
+    return rows.select("name", F.coalesce(validate.github_checksum(F.col("token")).cast("string"), F.lit("none")).alias("valid"), validate.luhn(F.lit("4539 1488 0343 6467")).alias("luhn"))
 
 
 def _core() -> tuple[Callable[[SparkSession, str], DataFrame], ...]:

@@ -169,5 +169,5 @@ SQL: dict[str, str] = {
     "unpacked_archive": """
       select * from (values ('x.zip!/in.zip!/deep/.env', 'x.zip', 'KEY=value' || chr(10), false, 2::int), ('x.zip!/a.txt', 'x.zip', 'plain text' || chr(10), false, 1), ('n.log.gz!/n.log', 'n.log.gz', 'log line' || chr(10), false, 1),
         ('p.txt', 'p.txt', 'déjà vu, noted in plain words' || chr(10), false, 0)) t(logical_path, source_path, text, is_binary, container_depth)""",
-    "checksums": "select * from (values ('right', true, true), ('wrong', false, true), ('other', null, true)) t(name, valid, luhn)",
+    "checksums": "select * from (values ('right', 'true', true), ('wrong', 'false', true), ('other', 'none', true)) t(name, valid, luhn)",
 }

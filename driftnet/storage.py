@@ -40,3 +40,22 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+# Inputs up to this size may be spread over the cores; larger ones have splits enough.
+SMALL_INPUT = 128 << 20
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` over all cores where it is small and lies in few files.
+
+    Heavy work per row on a file of one split would run on one core.  The size
+    is checked on the plan first, so a large input is never shuffled for this.
+    """
+    if frame.isStreaming:
+        return frame
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_INPUT or not 0 < len(frame.inputFiles()) < cores:
+        return frame
+    return frame.repartition(cores)
