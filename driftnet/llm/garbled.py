@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftnet.llm.common import LINE_BREAK, first_copy
+from driftnet.storage import spread
 
 # Single-byte and multi-byte code pages met in practice.
 READ_AS = ("latin-1", "cp1252", "cp1251", "cp1250", "koi8-r", "cp866", "cp437", "cp850",
@@ -333,7 +334,7 @@ def garbled_lines(blobs: DataFrame) -> DataFrame:
     source = blobs.select(F.col("blob_id").cast("bigint").alias("blob_id"), F.col("text").cast("string").alias("text"))
     kept = source.where(F.col("blob_id").isNotNull() & (F.octet_length("text") > F.length("text")))
     schema = "blob_id bigint, line_no int, state string, original string, repaired string, layers string"
-    found = kept.mapInArrow(_scan, schema)
+    found = spread(kept).mapInArrow(_scan, schema)
     return first_copy(found, ["blob_id", "line_no"], "original")
 
 

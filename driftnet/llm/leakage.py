@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftnet.storage import spread
+
 # Words are runs of letters and digits, compared in lower case.
 WORD = re.compile(r"[^\W_]+")
 # Item windows per broadcast block: 24 bytes each, so a block stays near 25 MB.
@@ -176,7 +178,7 @@ def leaks(documents: DataFrame, items: DataFrame, passage_words: int = 13, radiu
     repeated rows count once; other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.where("doc_id is not null and text is not null and text <> ''")
+    docs = spread(docs.where("doc_id is not null and text is not null and text <> ''"))
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     wanted = wanted.where("item_id is not null and text is not null").dropDuplicates()
     context = docs.sparkSession.sparkContext

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftnet.llm.common import first_copy
-from driftnet.storage import stored
+from driftnet.storage import spread, stored
 
 # Path of a public byte-level BPE vocabulary (ranks); a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -56,7 +56,7 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source (normalised), n_tokens of each document, written once to
     the shared folder so that totals and drawing do not tokenize twice."""
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source").cast("string")).alias("source"), F.col("text").cast("string").alias("text"))
-    counted = source.where("doc_id is not null and source is not null and text is not null") \
+    counted = spread(source.where("doc_id is not null and source is not null and text is not null")) \
         .select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens"))
     return stored(first_copy(counted, ["doc_id"], "source"), "token-counts")
 
