@@ -35,9 +35,46 @@ class Limits:
     overlap_lines: int = 64
 
 
+def _dotted(spark: SparkSession, path: str) -> DataFrame:
+    """Files Spark's own listing leaves out: those that begin with a dot or an underscore or lie in such a folder.
+
+    Names come from the shared file system's listing; contents are read by the tasks, when asked for."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    start = fs.makeQualified(root).toString().rstrip("/")
+    rows, listed = [], fs.listFiles(root, True)
+    while listed.hasNext():
+        status = listed.next()
+        name = status.getPath().toString()
+        if any(part[:1] in (".", "_") for part in name[len(start):].split("/") if part):
+            rows.append((name, status.getModificationTime() / 1000.0, status.getLen()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as arrow_fs
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                uri = batch.column(0)[row].as_py()
+                if uri.startswith("file:"):
+                    with open(uri.removeprefix("file://").removeprefix("file:"), "rb") as file:
+                        body = file.read()
+                else:
+                    system, inner = arrow_fs.FileSystem.from_uri(uri)
+                    with system.open_input_stream(inner) as file:
+                        body = file.read()
+                one = batch.slice(row, 1)
+                yield pa.record_batch([*one.columns, pa.array([body], pa.binary())], names=["path", "modificationTime", "length", "content"])
+
+    frame = spark.createDataFrame(rows, "path string, at double, length bigint").select("path", F.timestamp_seconds("at").alias("modificationTime"), "length")
+    return frame.mapInArrow(read, "path string, modificationTime timestamp, length bigint, content binary")
+
+
 def walk(spark: SparkSession, path: str, include: Sequence[str] = (), exclude: Sequence[str] = (), only: Sequence[str] | None = None, scope_only: bool = False, all_folders: bool = False, hidden: bool = True) -> DataFrame:
     """Files under a path: path, modificationTime, length, content (not read unless selected)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if hidden:
+        files = files.unionByName(_dotted(spark, path))
     keep = scope.allowed(F.col("path"), include, exclude, only, scope_only)
     if not all_folders:
         keep = keep & ~scope.denied_folder(F.col("path"))
@@ -163,6 +200,9 @@ def pieces(blobs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     ``line_offset`` says how many lines stand before a piece, ``commit_line``
     the first line (from 1) it owns, so that a hit in the repeat counts once."""
     size, repeat = limits.piece_bytes, limits.overlap_lines
+    for name in ("line_offset", "commit_line"):
+        if name not in blobs.columns:
+            blobs = blobs.withColumn(name, F.lit(0))
     others = [c for c in blobs.columns if c not in ("text", "line_offset", "commit_line")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,9 +60,14 @@ def severity_tally(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark; event times without zone count in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums per event type and window of ``events(ts, event_type, value)``; late ones are dropped after ``late`` in a stream."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _watermarked(events, late)
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     out = marked.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
@@ -70,6 +75,6 @@ def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = N
 
 def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of users by gaps between events: user_id, session_start, session_end, n."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _watermarked(events, late)
     out = marked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
