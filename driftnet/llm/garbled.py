@@ -242,17 +242,57 @@ def _one_layer(text: str, cost: float) -> tuple[str, float, str] | None:
 
 
 _SPAN = re.compile(r"\S+")
+# Lines made of these alone need no closer look: one script with its punctuation, cased as people
+# write it.  What any misreading makes has other characters, case flips or runs of accents besides.
+_ASCII = frozenset(map(chr, range(128)))
+_MARKS = frozenset("«»„“”‘’–—…¿¡№")
+_LATIN = _ASCII | _MARKS | frozenset("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß")
+_RUSSIAN = _ASCII | _MARKS | frozenset(map(chr, range(0x410, 0x450))) | frozenset("Ёё")
+_OTHERS = tuple(_ASCII | _MARKS | frozenset(map(chr, range(a, b))) for a, b in ((0x600, 0x700), (0x900, 0x980), (0xE00, 0xE80)))
+_ACCENTS = re.compile("[à-ÿœ]{3}|[«„‘“][a-zà-ÿ]+[»“’”]?[a-zà-ÿ]|[a-zà-ÿ][«„¿¡№][a-zà-ÿ]|[«„¿¡№][^«»„“]*$")
+_FLIPS = re.compile("[а-яё][А-ЯЁ]|(?<![А-яЁё])[а-яё]?[а-яё][А-ЯЁ]|[A-Za-z][А-яЁё]|[А-яЁё][A-Za-z]|[А-яЁё][«№][А-яЁё]")
+
+
+def _plain(line: str) -> bool:
+    chars = set(line)
+    if chars <= _LATIN:
+        return _ACCENTS.search(line) is None
+    if chars <= _RUSSIAN:
+        return _FLIPS.search(line) is None
+    return any(chars <= other for other in _OTHERS)
+
+
+# Shapes of lines that were found clean: ASCII words and numbers do not decide, so a line of a
+# known shape is clean too.  Bounded, and emptied when full.
+_SHAPE = re.compile(r"([a-z]+)|([A-Z]+)|([0-9]+)")
+_clean_shapes: set[str] = set()
+
+
+def _shape(line: str) -> str:
+    return _SHAPE.sub(lambda m: "w" if m[1] else "W" if m[2] else "0", line)
 
 
-@lru_cache(maxsize=1 << 15)
 def repair_line(line: str) -> tuple[str, str, str]:
     """(state, text, layers): state is clean, repaired, partly or lost.
 
     A clean line comes back unchanged.  ``partly``: only some words could be
     restored.  ``lost``: garbled, and nothing strict restores any of it.
     """
-    if line.isascii():
+    if line.isascii() or _plain(line):
+        return "clean", line, ""
+    shape = _shape(line)
+    if shape in _clean_shapes:
         return "clean", line, ""
+    found = _repaired(line)
+    if found[0] == "clean":
+        if len(_clean_shapes) >= 1 << 16:
+            _clean_shapes.clear()
+        _clean_shapes.add(shape)
+    return found
+
+
+@lru_cache(maxsize=1 << 15)
+def _repaired(line: str) -> tuple[str, str, str]:
     text, layers = line, []
     cost = garbling_cost(text)
     for _ in range(MAX_LAYERS):
