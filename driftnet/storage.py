@@ -42,6 +42,18 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def stored_by(frame: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``stored``, in buckets of ``key``: later joins on it do not shuffle this side.
+
+    The frame should come from an aggregate or join on ``key``, whose partitions
+    are the buckets, so each task writes its own."""
+    spark = frame.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    table = f"driftnet_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    frame.write.format("parquet").bucketBy(buckets, key).option("path", fresh_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 # Inputs up to this size may be spread over the cores; larger ones have splits enough.
 SMALL_INPUT = 128 << 20
 
