@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftnet.storage import stored
+from driftnet.storage import stored, stored_by
 
 # The history comes before every batch.
 HISTORY = -1
@@ -91,7 +91,7 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """content, near (earliest order of a class alike) of candidate pairs (content, other)."""
     other = right.select(F.col("content").alias("other"), F.col("tokens").alias("other_tokens"), F.col("first").alias("other_first"))
     mine = left.select("content", "tokens")
-    met = pairs.join(other, "other").join(mine, "content").where(_similar(F.col("tokens"), F.col("other_tokens")))
+    met = pairs.join(mine, "content").join(other, "other").where(_similar(F.col("tokens"), F.col("other_tokens")))
     return met.groupBy("content").agg(F.min("other_first").alias("near"))
 
 
@@ -160,7 +160,7 @@ def check(arrivals: DataFrame, findings: DataFrame, blobs: DataFrame) -> DataFra
     open_rows = rows.join(keyed.select("arrival"), "arrival", "left_anti")
     old = findings.select("rule_id", "match_context", F.lit(HISTORY).alias("batch"), F.lit(0).cast("bigint").alias("arrival"), F.lit(False).alias("open"))
     flagged = rows.join(keyed.select("arrival", F.lit(True).alias("_met")), "arrival", "left").select("rule_id", "match_context", "batch", "arrival", F.col("_met").isNull().alias("open"))
-    every = stored(classes(old.unionByName(flagged)), "contents")
+    every = stored_by(classes(old.unionByName(flagged)), "contents", "content")
     near = context_matches(every, every)
     known = every.join(near, "content", "left").select("content", _least("first", "near").alias("known"))
     mine = contents(open_rows.withColumn("open", F.lit(True))).select("content", "batch", "arrival")
