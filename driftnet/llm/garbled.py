@@ -54,6 +54,8 @@ MAX_LAYERS = 4
 LOST = 1.3
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
+# Some of the most frequent Han characters of Chinese and Japanese texts.
+_FREQUENT = frozenset("的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里用道行所然家事成方多经么去法如都同现当没动面起看定分还进好小部其些主理前开但因只从日者无它已工情明全三点外将两高间问最重先比条例入出本見前後時間分対為了古的件")
 _OWN_COMMON_CYRILLIC = frozenset("оеаинтсрвлкмдпуя")
 _RARE_CYRILLIC = frozenset("ъэфщцёюшжЪЭФЩЦЁЮШЖ")
 # Punctuation that real text puts next to letters of many scripts.
@@ -96,7 +98,7 @@ def _kind(ch: str) -> tuple[str, float]:
     if 0x3040 <= o < 0x3100:
         return "k", 0.0
     if 0x3400 <= o < 0xA000:
-        return "z", 0.1 if _everyday(ch) else 1.2
+        return "z", 0.0 if ch in _FREQUENT else 0.1 if _everyday(ch) else 1.2
     if 0xAC00 <= o < 0xD7B0:
         return "o", 0.1
     if 0xE000 <= o < 0xF900:
@@ -127,7 +129,7 @@ def garbling_cost(text: str) -> float:
     if text.isascii():
         return 0.0
     cost, before, was, apart = 0.0, " ", " ", " "
-    run = opened = 0  # characters of the foreign run so far; whether an ASCII letter came before it
+    run = opened = alone = 0  # characters of the foreign run so far; whether an ASCII letter or a blank came before it
     for ch in text:
         kind, own = _kind(ch)
         if ch == was and kind == before:
@@ -135,11 +137,11 @@ def garbling_cost(text: str) -> float:
         cost += own
         if kind in "zkotrdcgw":
             if not run:
-                opened = before == "a"
+                opened, alone = before == "a", before == " " and kind in "zko"
             run += 1
         elif run:
             # One or two foreign letters inside a Latin word are never written so.
-            if run <= 2 and opened:
+            if run <= 2 and (opened or run == 1 and alone and kind == "a"):
                 cost += 2.5
             run = 0
         if before == "q" and kind in "al" and apart in "al" and was in _OUTER:
@@ -168,7 +170,7 @@ def garbling_cost(text: str) -> float:
             if before != kind and before in "alcgrsmzkdtbyx":
                 cost += 1.3
         elif kind == "a":
-            if before in "sbym":
+            if before in "sbymu":
                 cost += 0.7
             elif before in "cg":
                 cost += 1.0
@@ -183,6 +185,9 @@ def garbling_cost(text: str) -> float:
                 cost += 0.6
             elif before in "sbyx":
                 cost += 0.6
+        elif kind == "u":
+            if before in "al":
+                cost += 1.0
         elif kind in "zkow":
             if before in "lscgrbymx":
                 cost += 1.0
@@ -296,7 +301,7 @@ def _repaired(line: str) -> tuple[str, str, str]:
     text, layers = line, []
     cost = garbling_cost(text)
     for _ in range(MAX_LAYERS):
-        step = _one_layer(text, cost) if cost > 0 else None
+        step = _one_layer(text, cost) if cost > 0 and not (layers and _plain(text)) else None
         if step is None:
             break
         text, cost, how = step
