@@ -79,8 +79,9 @@ def rule_matches(rules: Sequence[Rule]) -> Column:
         when = [" or ".join(f"contains(lowered, {_quoted(g)})" for g in rule.guards)] if rule.guards else []
         when += [f"logical_path rlike {_quoted(rule.path)}"] if rule.path else []
         when += [f"not logical_path rlike {_quoted(no)}" for no in rule.not_paths]
-        hits = _positions(rule.pattern, rule.group, i)
-        parts.append(f"case when {' and '.join(f'({w})' for w in when)} then {hits} else array() end" if when else hits)
+        # One search decides; only texts with a match are split at all their matches.
+        when.append(f"text rlike {_quoted(rule.pattern)}")
+        parts.append(f"case when {' and '.join(f'({w})' for w in when)} then {_positions(rule.pattern, rule.group, i)} else array() end")
     return F.expr(f"flatten(array({', '.join(parts)}))") if parts else F.array().cast("array<struct<rule_ord:int,start:int,secret:string>>")
 
 
@@ -133,7 +134,7 @@ def _trimmed_token(h: Column) -> Column:
 
 def token_matches() -> Column:
     """array<struct<rule_ord, start, secret>> of the long tokens of ``text``, 20 characters or more."""
-    parts = ", ".join(_positions(pattern, 0, i) for i, (_, pattern) in enumerate(_ENTROPY))
+    parts = ", ".join(f"case when text rlike {_quoted(pattern)} then {_positions(pattern, 0, i)} else array() end" for i, (_, pattern) in enumerate(_ENTROPY))
     return F.filter(F.transform(F.expr(f"flatten(array({parts}))"), _trimmed_token), lambda t: F.length(t["secret"]) >= 20)
 
 
@@ -166,8 +167,8 @@ def _judged(rows: DataFrame, options: ScanOptions) -> DataFrame:
     table = rules_frame(spark, options.rules).drop("guards").withColumnRenamed("rule_ord", "_rule")
     rows = rows.withColumn("_rule", F.when(is_regex, F.col("rule_ord"))).join(F.broadcast(table), "_rule", "left")  # as many rows as there are rules
     check = F.col("check")
-    rows = _once(rows, bits=F.when(~is_regex | (F.col("min_entropy") > 0), entropy.shannon(s)), noise=F.when(~is_regex, entropy.structural_noise(s)),
-                 named=validate.contains_word(s, options.words), charset=F.when(is_token, entropy.charset(s)), noisy=F.when(is_token, entropy.noisy_path(F.col("logical_path"))),
+    rows = _once(rows, noise=F.when(~is_regex, entropy.structural_noise(s)))
+    rows = _once(rows, bits=F.when(F.when(is_regex, F.col("min_entropy") > 0).when(is_token, ~F.col("noise")).otherwise(True), entropy.shannon(s)), named=validate.contains_word(s, options.words), charset=F.when(is_token, entropy.charset(s)), noisy=F.when(is_token, entropy.noisy_path(F.col("logical_path"))),
                  checksum=F.when(check == "github", validate.github_checksum(s)))
     valid = F.when(check == "real", validate.not_placeholder(s)).when(check == "jwt", validate.valid_jwt(s)).when(check == "login", validate.uri_login(s)) \
         .when(check == "private-ip", validate.private_ipv4(s)).when(check == "public-ip", validate.public_ipv4(s)).otherwise(True)
