@@ -7,6 +7,7 @@ by splitting the text at the runs and joining it again with what they decode to.
 from __future__ import annotations
 
 import html
+import string
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 MAX_INPUT = 4 * 1024 * 1024
 # A run of base64 letters; longer runs than a regular expression repeats are taken as one.
-_RUN = r"[A-Za-z0-9+/_\-]{20,8192}={0,2}"
+# (The class is spelled out: the JVM looks single characters up in a bit set, ranges one by one.)
+_LETTER = "[" + string.ascii_letters + string.digits + r"+/_\-]"
+_RUN = _LETTER + "{20,8192}={0,2}"
 
 
 def _replaced(text: Column, pattern: str, decoded: Callable[[Column], Column]) -> Column:
@@ -37,7 +40,7 @@ def _base64_run(run: Column) -> Column:
 
 
 def base64_view(text: Column) -> Column:
-    return _changed(text, F.when(text.rlike(r"[A-Za-z0-9+/_\-]{20}"), _replaced(text, _RUN, _base64_run)))
+    return _changed(text, F.when(text.rlike(_LETTER + "{20}"), _replaced(text, _RUN, _base64_run)))
 
 
 def _code(hexa: Column) -> Column:

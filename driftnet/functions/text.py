@@ -18,7 +18,8 @@ def _prefix(text: Column, start: Column) -> Column:
 
 def line_no(text: Column, start: Column) -> Column:
     """Line of a position: line feeds before it, plus 1."""
-    return F.length(F.regexp_replace(_prefix(text, start), "[^\n]", "")) + 1
+    prefix = _prefix(text, start)
+    return F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit(""))) + 1
 
 
 def column_no(text: Column, start: Column) -> Column:
@@ -42,6 +43,28 @@ def context(text: Column, start: Column, length: Column, window: int = CONTEXT)
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(snippet, "\r", " "), "\n", " ⏎ "), r"^\s+|\s+$", "")
 
 
+# Characters after a position that can matter for its line or context.
+AFTER = LONG_LINE + 1024
+
+
+def around(text: Column, start: Column) -> tuple[Column, Column]:
+    """(before, after) of a position: all before it, and as much after it as lines and contexts need."""
+    return _prefix(text, start), F.substring(text, start + 1, F.lit(AFTER))
+
+
+def placed(before: Column, after: Column, size: Column) -> dict[str, Column]:
+    """line, column_no, line_text, near and match_context from what stands around a match."""
+    left, right = F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1)
+
+    def line(wide: int, part: int) -> Column:
+        cut = F.concat(F.substring(left, F.greatest(F.length(left) - part + 1, F.lit(1)), F.lit(part)), F.substring(right, F.lit(1), F.lit(part)))
+        return F.when(F.length(left) + F.length(right) > wide, cut).otherwise(F.concat(left, right))
+
+    snippet = F.concat(F.substring(before, F.greatest(F.length(before) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)), F.substring(after, F.lit(1), size + CONTEXT))
+    shown = F.trim(F.replace(F.replace(snippet, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" ⏎ ")))
+    return {"line": F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1, "column_no": F.length(left) + 1, "line_text": line(LONG_LINE, 512), "near": line(320, 160), "match_context": shown}
+
+
 def key_near(line: Column) -> Column:
     """The identifier before the last value of a line (first 512 characters), else null."""
     cleaned = F.regexp_replace(F.substring(line, 1, 512), r"[,;]\s*$", "")

@@ -10,6 +10,7 @@ map-side combine, to keep each finding once.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -21,7 +22,9 @@ from driftnet.plans.rules import BUILT_IN, PAIRS, Rule, rules_frame
 
 FINDING = ("fingerprint", "rule_id", "title", "detector", "severity", "logical_path", "source_path", "line", "column_no", "secret", "match_context",
            "confidence", "entropy", "key_name", "notes", "media_type", "secret_v2", "checksum", "actionability")
-_ENTROPY = (("base64", r"[A-Za-z0-9+/=_\-]{20,120}"), ("hex", r"\b[A-Fa-f0-9]{32,128}\b"))
+# Classes are spelled out: the JVM looks single characters up in a bit set, ranges one by one.
+_HEX = "ABCDEFabcdef0123456789"
+_ENTROPY = (("base64", "[" + string.ascii_letters + string.digits + r"+/=_\-]{20,120}"), ("hex", rf"\b[{_HEX}]{{32,128}}\b"))
 
 
 @dataclass(frozen=True)
@@ -105,7 +108,7 @@ def _blobs(frame: DataFrame) -> DataFrame:
 
 _KEEP = ("root_path", "logical_path", "source_path", "media_type", "is_binary", "line_offset", "commit_line", "view_ord", "boost")
 #: One candidate of any pass: which pass, the rule's or tokeniser's number, where, what, and its key and line if known.
-_CANDIDATE = "array<struct<pass_ord:int,rule_ord:int,start:int,secret:string,key:string,key_line:int>>"
+_CANDIDATE = "array<struct<pass_ord:int,rule_ord:int,start:int,secret:string,key:string,key_line:int,bits:double>>"
 _REGEX, _TOKEN, _KEY = 0, 1, 2
 
 
@@ -118,12 +121,12 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def _as_candidate(kind: int):  # noqa: ANN202
     return lambda h: F.struct(F.lit(kind).alias("pass_ord"), h["rule_ord"].alias("rule_ord"), h["start"].alias("start"), h["secret"].alias("secret"),
-                              F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("key_line"))
+                              F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("key_line"), (h["bits"] if kind == _TOKEN else F.lit(None).cast("double")).alias("bits"))
 
 
 def _pair_candidate(p: Column, i: Column) -> Column:
     return F.struct(F.lit(_KEY).alias("pass_ord"), F.lit(0).alias("rule_ord"), i.cast("int").alias("start"), F.regexp_replace(p["value"], r"^\s+|\s+$", "").alias("secret"),
-                    p["key_path"].alias("key"), p["line"].alias("key_line"))
+                    p["key_path"].alias("key"), p["line"].alias("key_line"), F.lit(None).cast("double").alias("bits"))
 
 
 def _trimmed_token(h: Column) -> Column:
@@ -138,6 +141,12 @@ def token_matches() -> Column:
     return F.filter(F.transform(F.expr(f"flatten(array({parts}))"), _trimmed_token), lambda t: F.length(t["secret"]) >= 20)
 
 
+def _with_bits(h: Column) -> Column:
+    """A token with its entropy, null where its shape explains it."""
+    bits = F.when(~entropy.structural_noise(h["secret"]), entropy.shannon(h["secret"]))
+    return F.struct(h["rule_ord"].alias("rule_ord"), h["start"].alias("start"), h["secret"].alias("secret"), bits.alias("bits"))
+
+
 def _regex_secret(h: Column) -> Column:
     secret = F.regexp_replace(F.regexp_replace(h["secret"], r"^\s+|\s+$", ""), "^[\"']+|[\"']+$", "")
     return F.struct(h["rule_ord"].alias("rule_ord"), h["start"].alias("start"), secret.alias("secret"))
@@ -150,7 +159,9 @@ def _candidates(views: DataFrame, options: ScanOptions) -> DataFrame:
     if options.regex:
         parts.append(F.transform(F.transform(rule_matches(options.rules), _regex_secret), _as_candidate(_REGEX)))
     if options.entropy:
-        parts.append(F.transform(token_matches(), _as_candidate(_TOKEN)))
+        # Only random tokens leave the generator: every candidate carries its text to the next steps.
+        random = F.filter(F.transform(token_matches(), _with_bits), lambda t: t["bits"] >= entropy.threshold(entropy.charset(t["secret"]), F.lit(False)))
+        parts.append(F.transform(random, _as_candidate(_TOKEN)))
     if options.keynames:
         pairs = F.filter(parse.pairs_of(text, path), lambda p: validate.sensitive_key(p["key_path"]))
         parts.append(F.when(~F.col("is_binary"), F.transform(parse.with_lines(pairs, text), _pair_candidate)).otherwise(F.array().cast(_CANDIDATE)))
@@ -167,8 +178,9 @@ def _judged(rows: DataFrame, options: ScanOptions) -> DataFrame:
     table = rules_frame(spark, options.rules).drop("guards").withColumnRenamed("rule_ord", "_rule")
     rows = rows.withColumn("_rule", F.when(is_regex, F.col("rule_ord"))).join(F.broadcast(table), "_rule", "left")  # as many rows as there are rules
     check = F.col("check")
-    rows = _once(rows, noise=F.when(~is_regex, entropy.structural_noise(s)))
-    rows = _once(rows, bits=F.when(F.when(is_regex, F.col("min_entropy") > 0).when(is_token, ~F.col("noise")).otherwise(True), entropy.shannon(s)), named=validate.contains_word(s, options.words), charset=F.when(is_token, entropy.charset(s)), noisy=F.when(is_token, entropy.noisy_path(F.col("logical_path"))),
+    rows = rows.withColumnRenamed("bits", "_bits")
+    rows = _once(rows, noise=F.when(~is_regex & ~is_token, entropy.structural_noise(s)),
+                 bits=F.when(is_token, F.col("_bits")).otherwise(F.when(~is_regex | (F.col("min_entropy") > 0), entropy.shannon(s))), named=validate.contains_word(s, options.words), charset=F.when(is_token, entropy.charset(s)), noisy=F.when(is_token, entropy.noisy_path(F.col("logical_path"))),
                  checksum=F.when(check == "github", validate.github_checksum(s)))
     valid = F.when(check == "real", validate.not_placeholder(s)).when(check == "jwt", validate.valid_jwt(s)).when(check == "login", validate.uri_login(s)) \
         .when(check == "private-ip", validate.private_ipv4(s)).when(check == "public-ip", validate.public_ipv4(s)).otherwise(True)
@@ -178,17 +190,18 @@ def _judged(rows: DataFrame, options: ScanOptions) -> DataFrame:
             harmless = harmless | ((F.col("_rule") == i) & s.rlike(validate.HARMLESS_NAME if pattern == "name" else pattern))
     regex_stands = valid & ~harmless & ((F.col("min_entropy") == 0) | (F.col("bits") >= F.col("min_entropy"))) & F.coalesce(F.col("checksum"), F.lit(True)) \
         & ~(F.array_contains("tags", "generic") & validate.benign_value(s)) & ~(F.col("words") & F.col("named"))
-    token_stands = F.col("charset").isNotNull() & ~F.col("noise") & (F.col("bits") >= entropy.threshold(F.col("charset"), F.col("noisy")))
+    token_stands = F.col("charset").isNotNull() & (F.col("bits") >= entropy.threshold(F.col("charset"), F.col("noisy")))
     key_stands = ~validate.benign_value(s) & (F.length(s) <= 512) & ~validate.prose(s) & ~validate.plain_identifier(s)
     rows = rows.where(F.when(is_regex, regex_stands).when(is_token, token_stands).otherwise(key_stands))
     # Only what stands is placed: line, context and key need the text.
     text, start, path = F.col("text"), F.col("start"), F.col("logical_path")
     in_text = F.col("pass_ord") != _KEY
     minified = F.lower("logical_path").rlike(r"\.(?:min|bundle)\.js$") | F.substring("text", 1, 4096).rlike(r"(?m)^\s*[\w$]{1,3}\s*=\s*function|;\s*function\s*\(")
-    rows = _once(rows, at_line=F.when(in_text, tx.line_no(text, start)).otherwise(F.col("key_line")), column_no=F.when(in_text, tx.column_no(text, start)).otherwise(1),
-                 line_text=F.when(in_text, tx.line_text(text, start)), near=F.when(is_token, tx.line_text(text, start, 320, 160)),
-                 match_context=F.when(in_text, tx.context(text, start, F.length(s))).otherwise(F.concat_ws(" = ", "key", "secret")),
-                 minified=F.when(is_token, minified)).drop("text")
+    before, after = tx.around(text, start)
+    rows = _once(rows, before=F.when(in_text, before), after=F.when(in_text, after), minified=F.when(is_token, minified)).drop("text")
+    at = tx.placed(F.col("before"), F.col("after"), F.length(s))
+    rows = _once(rows, at_line=F.when(in_text, at["line"]).otherwise(F.col("key_line")), column_no=F.when(in_text, at["column_no"]).otherwise(1), line_text=F.when(in_text, at["line_text"]),
+                 near=F.when(is_token, at["near"]), match_context=F.when(in_text, at["match_context"]).otherwise(F.concat_ws(" = ", "key", "secret"))).drop("before", "after")
     rows = rows.where(~F.coalesce(F.col("near").rlike(entropy.SAFE_LINE), F.lit(False)))
     if options.respect_ignore:
         rows = rows.where(~F.coalesce(F.col("line_text").rlike(validate.IGNORE_LINE), F.lit(False)))

@@ -36,6 +36,8 @@ def _r(rule_id: str, title: str, severity: str, confidence: float, tag: str, pat
     return Rule(rule_id, title, pattern, severity, confidence, group, tuple(guards.split()), check, (tag,), **more)
 
 
+# A look at the first character (single characters, which the JVM keeps as a bit set) comes before
+# word boundaries and alternatives: most positions of a text fail there.
 # Published formats of credentials and endpoints, their severity and base confidence.
 BUILT_IN: tuple[Rule, ...] = (
     _r("aws.access-key-id", "AWS access key id", "critical", 0.95, "aws", r"\b(?:A3T[A-Z0-9]|AKIA|ABIA|ACCA|ASIA)[0-9A-Z]{16}\b", "akia asia abia acca a3t", check="real"),
@@ -70,18 +72,18 @@ BUILT_IN: tuple[Rule, ...] = (
     _r("crypto.private-key", "Private key", "critical", 0.98, "pki", r"-----BEGIN (?:(?:RSA|DSA|EC|OPENSSH|PGP|ENCRYPTED) )?PRIVATE KEY(?: BLOCK)?-----", "-----begin"),
     _r("crypto.putty-private-key", "PuTTY private key", "critical", 0.95, "pki", r"PuTTY-User-Key-File-\d+:", "putty-user-key-file"),
     _r("generic.database-uri", "Database URI with a login", "critical", 0.9, "db",
-       r"""\b(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|amqps?|mssql|jdbc:[a-z]+|clickhouse|cassandra)://[^:/\s"']+:[^@\s"']+@[^\s"'<>\\]+""", "://", check="login"),
-    _r("generic.basic-auth-url", "URL with a login", "high", 0.88, "url", r"""\bhttps?://[^:/\s"']+:[^@\s"']{3,}@[^\s"'<>\\]+""", "http", check="login"),
+       r"""(?=[pmrajc])\b(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|amqps?|mssql|jdbc:[a-z]+|clickhouse|cassandra)://[^:/\s"']+:[^@\s"']+@[^\s"'<>\\]+""", "://", check="login"),
+    _r("generic.basic-auth-url", "URL with a login", "high", 0.88, "url", r"""(?=h)\bhttps?://[^:/\s"']+:[^@\s"']{3,}@[^\s"'<>\\]+""", "http", check="login"),
     _r("generic.internal-url", "Internal endpoint", "low", 0.7, "endpoint",
-       r"""\b(?:https?|ssh|ftp|smb|ldaps?|rdp)://(?:[A-Za-z0-9._\-]+\.(?:local|lan|internal|intranet|corp|home\.arpa)|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+"""
+       r"""(?=[hsflr])\b(?:https?|ssh|ftp|smb|ldaps?|rdp)://(?:[A-Za-z0-9._\-]+\.(?:local|lan|internal|intranet|corp|home\.arpa)|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+"""
        r"""|172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+|localhost)(?::\d+)?[^\s"'<>\\]*""", "://"),
-    _r("generic.external-url", "External endpoint", "info", 0.5, "endpoint", r"""\bhttps?://(?!localhost)[A-Za-z0-9._\-]+\.[A-Za-z]{2,24}(?::\d+)?[^\s"'<>\\]*""", "http"),
-    _r("generic.ipv4-private", "Private IPv4 address", "info", 0.6, "network", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", check="private-ip"),
-    _r("generic.ipv4-public", "Public IPv4 address", "info", 0.5, "network", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", check="public-ip"),
+    _r("generic.external-url", "External endpoint", "info", 0.5, "endpoint", r"""(?=h)\bhttps?://(?!localhost)[A-Za-z0-9._\-]+\.[A-Za-z]{2,24}(?::\d+)?[^\s"'<>\\]*""", "http"),
+    _r("generic.ipv4-private", "Private IPv4 address", "info", 0.6, "network", r"(?=[0123456789])\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", check="private-ip"),
+    _r("generic.ipv4-public", "Public IPv4 address", "info", 0.5, "network", r"(?=[0123456789])\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", check="public-ip"),
     _r("generic.ipv6", "IPv6 address", "info", 0.4, "network",
-       r"(?<![:.\w])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{0,4})(?![:.\w])", "::"),
+       r"(?=[0123456789ABCDEFabcdef])(?<![:.\w])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{0,4})(?![:.\w])", "::"),
     _r("generic.api-key-assignment", "Secret assigned", "medium", 0.6, "generic",
-       r"""(?i)(?:access|auth|(?-i:[Aa]pi|API)|credential|creds|key|passw(?:or)?d|secret|token)[ \t\w.-]{0,20}[\s'"]{0,3}(?:=|>|:{1,3}=|\|\||:|=>|\?=|,)[`'"\s=]{0,5}"""
+       r"""(?i)(?=[ACKPSTackpst])(?:access|auth|(?-i:[Aa]pi|API)|credential|creds|key|passw(?:or)?d|secret|token)[ \t\w.-]{0,20}[\s'"]{0,3}(?:=|>|:{1,3}=|\|\||:|=>|\?=|,)[`'"\s=]{0,5}"""
        r"""([\w.=-]{10,150}|[a-z0-9][a-z0-9+/]{11,}={0,3})(?:[`'"\s;]|\\[nr]|$)""", "key secret token pass auth credential", 1, "real", min_entropy=3.5,
        harmless=("^[a-zA-Z_.-]+$", "name"), words=True),
     _r("generic.authorization-header", "Authorization header", "high", 0.85, "generic", r"""(?i)authorization\s*[:=]\s*["']?(?:bearer|basic|token)\s+([A-Za-z0-9._\-+/=]{12,})""", "authorization", 1, "real"),
