@@ -91,3 +91,12 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     from_objects = text.select(F.explode_outer(objects).alias("f")).select("f.fingerprint")
     from_strings = text.select(F.explode_outer(F.from_json("value", "array<string>")).alias("fingerprint")).where(F.col("fingerprint").rlike("^[0-9a-f]{32}$"))
     return from_objects.unionByName(from_strings).where("fingerprint is not null").distinct()
+
+
+def scan_stats(leaves: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row of counters over the leaves of a scan: files, blobs, bytes, errors, findings.
+
+    ``leaves`` as of sources.files.unpacked; partial sums are merged by Spark."""
+    seen = leaves.agg(F.countDistinct("source_path").alias("files"), F.count_if(F.col("content").isNotNull()).alias("blobs"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"),
+                      F.count_if(F.col("message") != "").alias("errors"))
+    return seen.withColumn("_k", F.lit(1)).join(findings.agg(F.count(F.lit(1)).alias("findings"), F.lit(1).alias("_k")), "_k").drop("_k")  # two single rows
