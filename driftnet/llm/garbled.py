@@ -12,6 +12,7 @@ texts with a non-ASCII character, and Arrow batches carry those to Python.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -225,7 +226,9 @@ def _strict(data: bytes | None, codec: str) -> str | None:
 
 def _one_layer(text: str, cost: float) -> tuple[str, float, str] | None:
     """The best candidate below the cost, as (text, cost, "intended<read as")."""
-    best = None
+    best = _unflipped(text)
+    if best:
+        return best
     for codec in READ_AS:
         got = _strict(_to_bytes(text, codec), "utf-8")
         if got is not None and got != text:
@@ -254,17 +257,69 @@ _MARKS = frozenset("«»„“”‘’–—…¿¡№")
 _LATIN = _ASCII | _MARKS | frozenset("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß")
 _RUSSIAN = _ASCII | _MARKS | frozenset(map(chr, range(0x410, 0x450))) | frozenset("Ёё")
 _OTHERS = tuple(_ASCII | _MARKS | frozenset(map(chr, range(a, b))) for a, b in ((0x600, 0x700), (0x900, 0x980), (0xE00, 0xE80)))
-_ACCENTS = re.compile("[à-ÿœ]{3}|[«„‘“][a-zà-ÿ]+[»“’”]?[a-zà-ÿ]|[a-zà-ÿ][«„¿¡№][a-zà-ÿ]|[«„¿¡№][^«»„“]*$")
+_ACCENTS = re.compile("[à-ÿœ]{3}|[«„‘“][a-zà-ÿ]+[»“’”]?[a-zà-ÿ]|[a-zà-ÿ][«„¿¡№][a-zà-ÿ]|[«„¿¡№][^«»„“]*$|(?<![A-Za-z])[à-ÿœ]{2}(?![A-Za-z])")
 _FLIPS = re.compile("[а-яё][А-ЯЁ]|(?<![А-яЁё])[а-яё]?[а-яё][А-ЯЁ]|[A-Za-z][А-яЁё]|[А-яЁё][A-Za-z]|[А-яЁё][«№][А-яЁё]")
 
 
+_TOUCHING = re.compile("[A-Za-z][\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f]|[\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f][A-Za-z]")
+_RUSSIAN_PAGES = ("cp1251", "koi8-r", "cp866")
+_CAPITALISED = re.compile("[А-ЯЁ][а-яё]")
+
+
+# Share of each letter in Russian text, in hundredths of a percent.
+_RUSSIAN_SHARES = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфёъ", (
+    1097, 845, 801, 735, 670, 626, 547, 473, 454, 440, 349, 321, 298, 281, 262, 201, 190, 174, 170, 165, 159, 144, 121, 97, 94, 73, 64, 48, 36, 32, 26, 20, 4), strict=True))
+_RUSSIAN_LOGS = {ch: math.log(n / 10_000) for ch, n in _RUSSIAN_SHARES.items()}
+_NO_WORD = re.compile(r"\b[ъыь]")
+# How much likelier (natural logarithm) another reading of a line must be.
+_LIKELIER = 6.0
+
+
+def _russian(text: str) -> float:
+    """Logarithm of how likely the Russian letters of a text are, whatever their case."""
+    low = text.lower()
+    return sum(_RUSSIAN_LOGS.get(ch, 0.0) for ch in low) - 5.0 * len(_NO_WORD.findall(low))
+
+
+@lru_cache(maxsize=1 << 15)
+def _other_page(line: str) -> tuple[str, float, str] | None:
+    """A Russian line read in another Russian code page, where that reads far better.
+
+    Such a misreading swaps the case of whole words, and the costs hardly tell cases apart."""
+    letters = sum("\u0400" <= ch < "\u0460" or ch in "╦╗" for ch in line)
+    # A letter of another alphabet counts as the rarest one.
+    best, limit = None, _russian(line) + _LIKELIER + _RUSSIAN_LOGS["ъ"] * (letters - sum(ch in _RUSSIAN_LOGS for ch in line.lower()))
+    for intended in _RUSSIAN_PAGES:
+        for codec in _RUSSIAN_PAGES:
+            got = _strict(_to_bytes(line, codec), intended) if codec != intended else None
+            if got is not None and got != line and _RUSSIAN.issuperset(got) and _FLIPS.search(got) is None:
+                now = _russian(got)
+                if now > limit:
+                    best, limit = (got, garbling_cost(got), f"{intended}<{codec}"), now
+    return best
+
+
+# What the letter io becomes.
+_RUSSIAN_MISREAD = _RUSSIAN | frozenset("Јі╦╗")
+
+
+def _unflipped(line: str) -> tuple[str, float, str] | None:
+    # A capitalised word would come out of any of these misreadings with its case flipped inside.
+    if not _RUSSIAN_MISREAD.issuperset(line) or _CAPITALISED.search(line):
+        return None
+    return _other_page(line)
+
+
 def _plain(line: str) -> bool:
     chars = set(line)
     if chars <= _LATIN:
         return _ACCENTS.search(line) is None
     if chars <= _RUSSIAN:
-        return _FLIPS.search(line) is None
-    return any(chars <= other for other in _OTHERS)
+        return _FLIPS.search(line) is None and _unflipped(line) is None
+    if not any(chars <= other for other in _OTHERS) or _TOUCHING.search(line):
+        return False
+    # Of the code pages tried only cp874 has letters of these scripts.
+    return all(w.isascii() or _strict(_to_bytes(w, "cp874"), "utf-8") is None for w in line.split())
 
 
 # Shapes of lines that were found clean: ASCII words and numbers do not decide, so a line of a

@@ -47,3 +47,19 @@ def test_operator_edges(spark):
     assert texts == {1: f"ok\r\n{CLEAN[0]}\nok", 2: None, 3: "", 4: "ascii only"}
     assert garbled.garbled_lines(blobs.limit(0)).count() == 0
     assert garbled.repair_line("é" * 200_000 + bad)[0] in ("clean", "repaired", "partly", "lost")
+
+
+@pytest.mark.parametrize("line", ["für", "été", "señor", "il a été changé où", "La revisión olvidó una clave válida.", "или"])
+def test_utf8_read_as_thai(line):
+    assert garbled.repair_line(line.encode().decode("cp874"))[:2] == ("repaired", line)
+
+
+@pytest.mark.parametrize(("intended", "read_as"), [("cp1251", "koi8-r"), ("koi8-r", "cp1251")])
+@pytest.mark.parametrize("line", ["удалить старый ключ", "УДАЛИТЬ СТАРЫЙ КЛЮЧ", "# ревизор нашёл лишний пароль от config"])
+def test_russian_lines_whose_case_was_swapped(line, intended, read_as):
+    assert garbled.repair_line(line.encode(intended).decode(read_as))[:2] == ("repaired", line)
+
+
+@pytest.mark.parametrize("line", ["УДАЛИТЬ СТАРЫЙ КЛЮЧ", "удалить старый ключ", "США", "ФСБ", "эхо", "юг", "почему", "ЦЕХ № 5"])
+def test_capitals_and_short_words_stay(line):
+    assert garbled.repair_line(line) == ("clean", line, "")
