@@ -2,6 +2,7 @@
 
 A view is null where nothing decodes.  Each replaces the encoded runs in place,
 by splitting the text at the runs and joining it again with what they decode to.
+Texts of any length are decoded.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_INPUT = 4 * 1024 * 1024
 # A run of base64 letters; longer runs than a regular expression repeats are taken as one.
 # (The class is spelled out: the JVM looks single characters up in a bit set, ranges one by one.)
 _LETTER = "[" + string.ascii_letters + string.digits + r"+/_\-]"
@@ -70,7 +70,7 @@ def entity_view(text: Column) -> Column:
 
 
 def _changed(text: Column, view: Column) -> Column:
-    return F.when((F.length(text) <= MAX_INPUT) & (view != text), view)
+    return F.when(view != text, view)
 
 
 # In this order a value found twice is kept once.

@@ -123,6 +123,15 @@ def test_escape_view(spark):
     assert column(spark, [r"aA\x42c", "plain"], decode.escape_view) == ["aABc", None]
 
 
+def test_views_of_a_text_over_four_mi_characters(spark):
+    secret = "password=hunter2-and-more"
+    forms = [base64.b64encode(secret.encode()).decode(), "".join(f"\\x{ord(c):02x}" for c in secret), "".join(f"%{ord(c):02X}" for c in secret), "".join(f"&#{ord(c)};" for c in secret)]
+    long = "one line of a log\n" * (1 + (4 << 20) // 18)
+    rows = spark.createDataFrame([(f"{forms[0]} {long}{f}",) for f in forms], "c string").select(F.explode(decode.views(F.col("c"))).alias("v"))
+    got = rows.select("v.label", F.endswith("v.text", F.lit(secret)).alias("last"), F.startswith("v.text", F.lit(secret)).alias("first")).collect()
+    assert sorted(r["label"] for r in got if r["last"]) == ["base64", "html-entity", "percent", "unicode-escape"] and sum(r["first"] for r in got if r["label"] == "base64") == 4
+
+
 @pytest.mark.parametrize(("name", "body", "pairs"), [
     ("a/.env", "export A='x y'\n# c\nB=1 # note\n", [("A", "x y"), ("B", "1")]), ("a.json", '{"a": {"b": ["s", 2, true]}} // c', [("a.b[0]", "s"), ("a.b[1]", "2")]),
     ("a.tf", 'x = "v"\ny = 3\n', [("x", "v"), ("y", "3")]), ("a.reg", '"K"="v\\\\w"\n"D"=dword:1\n', [("K", "v\\w")]), ("a.service", "Environment=TOKEN=abc\n", [("TOKEN", "abc")]),
