@@ -174,6 +174,7 @@ def leaks(documents: DataFrame, items: DataFrame, passage_words: int = 13, radiu
     least ``near``.
 
     All windows equal word for word have equal fingerprints, so none is missed.
+    Near windows mostly lie outside the radius: a changed word flips about 7 bits.
     Items and documents with fewer words, null ids or null texts match nothing;
     repeated rows count once; other columns are ignored.
     """
