@@ -52,8 +52,26 @@ def around(text: Column, start: Column) -> tuple[Column, Column]:
     return _prefix(text, start), F.substring(text, start + 1, F.lit(AFTER))
 
 
-def placed(before: Column, after: Column, size: Column) -> dict[str, Column]:
-    """line, column_no, line_text, near and match_context from what stands around a match."""
+def hidden(snippet: Column, start: Column, spans: Column) -> Column:
+    """``snippet``, which begins at ``start`` of its text, with the ``spans`` (at, end) of the text hidden.
+
+    A span that is wholly in it shows as ``redact`` would; one that is cut off or
+    overlaps another as stars.  Longer ones count first."""
+    order = F.array_sort(spans, lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(b["end"] - a["end"]).cast("int"))
+    none = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+
+    def step(acc: Column, span: Column) -> Column:
+        a, b = F.greatest(span["at"] - start, acc["pos"]), F.least(span["end"] - start, F.length(snippet))
+        whole = (span["at"] - start == a) & (span["end"] - start == b)
+        shown = F.when(whole, redact(F.substring(snippet, a + 1, b - a))).otherwise(F.repeat(F.lit("*"), b - a))
+        grown = F.struct(b.cast("int").alias("pos"), F.concat(acc["out"], F.substring(snippet, acc["pos"] + 1, a - acc["pos"]), shown).alias("out"))
+        return F.when(b > a, grown).otherwise(acc)
+
+    return F.aggregate(order, none, step, lambda acc: F.concat(acc["out"], F.substring(snippet, acc["pos"] + 1, F.length(snippet))))
+
+
+def placed(before: Column, after: Column, size: Column, spans: Column | None = None) -> dict[str, Column]:
+    """line, column_no, line_text, near and match_context from what stands around a match; ``spans`` are hidden in the context."""
     left, right = F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1)
 
     def line(wide: int, part: int) -> Column:
@@ -61,6 +79,8 @@ def placed(before: Column, after: Column, size: Column) -> dict[str, Column]:
         return F.when(F.length(left) + F.length(right) > wide, cut).otherwise(F.concat(left, right))
 
     snippet = F.concat(F.substring(before, F.greatest(F.length(before) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)), F.substring(after, F.lit(1), size + CONTEXT))
+    if spans is not None:
+        snippet = hidden(snippet, F.greatest(F.length(before) - CONTEXT, F.lit(0)), spans)
     shown = F.trim(F.replace(F.replace(snippet, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" ⏎ ")))
     return {"line": F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1, "column_no": F.length(left) + 1, "line_text": line(LONG_LINE, 512), "near": line(320, 160), "match_context": shown}
 

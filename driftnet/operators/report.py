@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftnet.functions import entropy, parse, validate
 from driftnet.functions import text as tx
 from driftnet.operators.findings import by_rule, by_severity, report_order
+from driftnet.operators.scan import rule_matches, token_matches
+from driftnet.plans.rules import BUILT_IN
 
 # Levels and scores of severities in SARIF 2.1.0.
 LEVEL = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
@@ -20,9 +23,36 @@ def _lookup(severity: Column, table: dict[str, str]) -> Column:
     return out
 
 
+def redacted(findings: DataFrame) -> DataFrame:
+    """``findings`` with secret, secret_v2 and match_context redacted.
+
+    A context shows the values of its neighbours too, so it is searched with every
+    rule, for long random tokens and for values of sensitive keys, and all that is
+    found is scrubbed, longest first, with the finding's own values whatever their
+    length.  Nulls stay null; columns that are not there are not made; a row stays
+    a row.  (A scan with ``redact`` hides neighbours by their places instead.)
+    """
+    has_context, names = "match_context" in findings.columns, list(findings.columns)
+    second = F.split("secret_v2", ":") if "secret_v2" in names else F.array().cast("array<string>")
+    out = findings
+    if has_context:
+        # Every rule reads the columns text, lowered and logical_path: they are made beside the row.
+        row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
+        rows = findings.select(row, F.col("match_context").alias("text"), F.lower("match_context").alias("lowered"), F.lit("").alias("logical_path"),
+                               F.array_compact(F.concat(F.array(F.col("secret")), F.coalesce(second, F.array().cast("array<string>")))).alias("_own"))
+        lines = F.replace(F.col("text"), F.lit(" ⏎ "), F.lit("\n"))
+        keyed = F.filter(F.concat(parse.env_pairs(lines), parse.properties_pairs(lines)), lambda p: validate.sensitive_key(p["key_path"]) & (F.length(p["value"]) >= 6))
+        random = F.filter(token_matches(), lambda t: entropy.shannon(t["secret"]) >= entropy.threshold(entropy.charset(t["secret"]), F.lit(False)))
+        values = F.concat(F.transform(rule_matches(BUILT_IN), lambda h: h["secret"]), F.transform(random, lambda t: t["secret"]), F.transform(keyed, lambda p: p["value"]))
+        own = F.aggregate(F.array_sort(F.col("_own"), lambda a, b: F.length(b) - F.length(a)), tx.scrub(F.col("text"), F.array_union(F.col("_own"), values)),
+                          lambda t, s: F.when(s == "", t).otherwise(F.replace(t, s, tx.redact(s))))
+        out = rows.withColumn("_shown", F.when(F.col("text").isNotNull(), own)).select("_row.*", "_shown").withColumn("match_context", F.col("_shown")).drop("_shown")
+    return out.withColumns({c: tx.redact(F.col(c)) for c in ("secret", "secret_v2") if c in names}).select(*(f"`{c}`" for c in names))
+
+
 def json_rows(findings: DataFrame) -> DataFrame:
     """One JSON document per finding, secrets redacted."""
-    shown = findings.withColumns({"match_context": F.replace(F.col("match_context"), F.col("secret"), tx.redact(F.col("secret"))), "secret": tx.redact(F.col("secret"))})
+    shown = redacted(findings)
     return shown.select("fingerprint", F.to_json(F.struct(*(c for c in shown.columns))).alias("document"))
 
 
@@ -80,8 +110,7 @@ def exit_code(findings: DataFrame, fail_on: str = "high") -> int:
 
 def write_report(findings: DataFrame, path: str) -> None:
     """Redacted findings as Parquet, one folder per scan date."""
-    shown = findings.withColumns({"match_context": F.replace(F.col("match_context"), F.col("secret"), tx.redact(F.col("secret"))), "secret": tx.redact(F.col("secret")), "scan_date": F.current_date()})
-    shown.write.mode("append").partitionBy("scan_date").parquet(path)
+    redacted(findings).withColumn("scan_date", F.current_date()).write.mode("append").partitionBy("scan_date").parquet(path)
 
 
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:

@@ -124,8 +124,8 @@ def _as_candidate(kind: int):  # noqa: ANN202
                               F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("key_line"), (h["bits"] if kind == _TOKEN else F.lit(None).cast("double")).alias("bits"))
 
 
-def _pair_candidate(p: Column, i: Column) -> Column:
-    return F.struct(F.lit(_KEY).alias("pass_ord"), F.lit(0).alias("rule_ord"), i.cast("int").alias("start"), F.regexp_replace(p["value"], r"^\s+|\s+$", "").alias("secret"),
+def _pair_candidate(p: Column) -> Column:
+    return F.struct(F.lit(_KEY).alias("pass_ord"), F.lit(0).alias("rule_ord"), p["start"].alias("start"), F.regexp_replace(p["value"], r"^\s+|\s+$", "").alias("secret"),
                     p["key_path"].alias("key"), p["line"].alias("key_line"), F.lit(None).cast("double").alias("bits"))
 
 
@@ -148,8 +148,22 @@ def _with_bits(h: Column) -> Column:
 
 
 def _regex_secret(h: Column) -> Column:
+    """A match without outer blanks and quotes; its start moves along."""
+    head = F.length(F.regexp_extract(h["secret"], "^\\s*[\"']*", 0))
     secret = F.regexp_replace(F.regexp_replace(h["secret"], r"^\s+|\s+$", ""), "^[\"']+|[\"']+$", "")
-    return F.struct(h["rule_ord"].alias("rule_ord"), h["start"].alias("start"), secret.alias("secret"))
+    return F.struct(h["rule_ord"].alias("rule_ord"), (h["start"] + head).cast("int").alias("start"), secret.alias("secret"))
+
+
+def _with_spans(every: Column) -> Column:
+    """Candidates with the places of all candidates that its context shows: what a redacted report must hide there."""
+    def one(c: Column) -> Column:
+        def shown(o: Column) -> Column:
+            return (o["start"] >= 0) & (o["start"] < c["start"] + F.length(c["secret"]) + tx.CONTEXT) & (o["start"] + F.length(o["secret"]) > c["start"] - tx.CONTEXT)
+
+        spans = F.transform(F.filter(every, shown), lambda o: F.struct(o["start"].alias("at"), (o["start"] + F.length(o["secret"])).alias("end")))
+        return F.struct(*(c[n].alias(n) for n in ("pass_ord", "rule_ord", "start", "secret", "key", "key_line", "bits")), F.array_distinct(spans).alias("spans"))
+
+    return F.transform(every, one)
 
 
 def _candidates(views: DataFrame, options: ScanOptions) -> DataFrame:
@@ -168,6 +182,10 @@ def _candidates(views: DataFrame, options: ScanOptions) -> DataFrame:
     if not parts:
         raise ValueError("no pass is switched on")
     every = F.filter(F.concat(*parts), lambda c: (c["secret"] != "") & ~c["secret"].isin(*validate.PUBLISHED))
+    if options.redact:
+        # The list passes through a generator, so that the places of all candidates are found once.
+        views = _once(views, every=every)
+        every = _with_spans(F.col("every"))
     return views.withColumn("h", F.explode(every)).select(*_KEEP, "text", "h.*")
 
 
@@ -199,7 +217,7 @@ def _judged(rows: DataFrame, options: ScanOptions) -> DataFrame:
     minified = F.lower("logical_path").rlike(r"\.(?:min|bundle)\.js$") | F.substring("text", 1, 4096).rlike(r"(?m)^\s*[\w$]{1,3}\s*=\s*function|;\s*function\s*\(")
     before, after = tx.around(text, start)
     rows = _once(rows, before=F.when(in_text, before), after=F.when(in_text, after), minified=F.when(is_token, minified)).drop("text")
-    at = tx.placed(F.col("before"), F.col("after"), F.length(s))
+    at = tx.placed(F.col("before"), F.col("after"), F.length(s), F.col("spans") if options.redact else None)
     rows = _once(rows, at_line=F.when(in_text, at["line"]).otherwise(F.col("key_line")), column_no=F.when(in_text, at["column_no"]).otherwise(1), line_text=F.when(in_text, at["line_text"]),
                  near=F.when(is_token, at["near"]), match_context=F.when(in_text, at["match_context"]).otherwise(F.concat_ws(" = ", "key", "secret"))).drop("before", "after")
     rows = rows.where(~F.coalesce(F.col("near").rlike(entropy.SAFE_LINE), F.lit(False)))
@@ -231,7 +249,10 @@ def scan(blobs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     lines), commit_line (first line, from 1, the blob owns).  Blobs with a null
     path, a null text or an empty text give nothing; repeated blobs give their
     findings once; other columns are ignored.  A value met in the plain text is
-    not reported again from a decoded view.
+    not reported again from a decoded view.  With ``redact`` no context shows a
+    value any pass takes for a candidate, also one that is cut off by the
+    context's edge: they are hidden by their places in the text, before anything
+    is shuffled.
     """
     views = _views(_blobs(blobs), options)
     found = _judged(_candidates(views, options), options)
@@ -253,6 +274,7 @@ def scan(blobs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
         out = out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= options.max_per_blob)
     out = out.withColumn("actionability", tx.actionability(F.lit("unknown"), F.col("checksum"), F.col("confidence")))
     if options.redact:
+        # Contexts of the text are hidden by place already; a key's context is made of its key and value.
         out = out.withColumns({"match_context": F.replace("match_context", F.col("secret"), tx.redact(F.col("secret"))), "secret": tx.redact(F.col("secret")),
                                "secret_v2": tx.redact(F.col("secret_v2"))})
     return out.select(*FINDING)

@@ -25,18 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.file_deltas(table(spark, sf_dir, "files"), table(spark, sf_dir, "scan_runs"), table(spark, sf_dir, "file_listing"), fresh_path(spark, "files"))
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths that are new or changed against what the successful runs recorded."""
-    return _deltas(spark, sf_dir).where("_change = 'insert'").select("path")
+    """Paths a run takes up: new or changed against what the successful runs recorded.
+
+    The run reads the difference of two manifests and commits its paths with the version it
+    has processed; what the query returns is that commit."""
+    at = fresh_path(spark, "files")
+    states = versions.recorded_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "scan_runs"), f"{at}/states")
+    versions.list_files(states, table(spark, sf_dir, "file_listing"))
+    taken = versions.VersionedTable(spark, f"{at}/taken", "path string")
+    versions.take_up(states, taken, lambda d: d.select("path"))
+    return taken.read()
 
 
 def p4_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record deltas between the two versions, with outdated records as deletes."""
-    return _deltas(spark, sf_dir).withColumnRenamed("_change", "change")
+    at = fresh_path(spark, "files")
+    return versions.file_deltas(table(spark, sf_dir, "files"), table(spark, sf_dir, "scan_runs"), table(spark, sf_dir, "file_listing"), at).withColumnRenamed("_change", "change")
 
 
 _STATES = """
@@ -163,7 +168,7 @@ def configuration_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of every blob by its file name, with lines."""
     rows = stored_blobs(spark, sf_dir).where("text is not null and not is_binary")
     pairs = parse.with_lines(parse.pairs_of(F.col("text"), F.col("logical_path")), F.col("text"))
-    return rows.select("blob_id", F.explode(pairs).alias("p")).select("blob_id", "p.*").distinct()
+    return rows.select("blob_id", F.explode(pairs).alias("p")).select("blob_id", "p.key_path", "p.value", "p.line").distinct()
 
 
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:

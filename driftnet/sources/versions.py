@@ -174,13 +174,15 @@ def process_changes(source: VersionedTable, output: VersionedTable, work: Callab
 
     The processed version of ``source`` is saved in the manifest of the output
     commit: if the run breaks off, neither is visible and the next run takes the
-    same changes up again; after it, they are never repeated.  Returns the
-    versions processed (from, to).
+    same changes up again; after it, they are never repeated.  The commit builds
+    on the output version that was read at the start: of two runs at a time one
+    gets a VersionConflict and leaves nothing.  Returns the versions processed
+    (from, to).
     """
-    done = output.manifest().processed.get(name, 0)
-    until = source.latest()
+    base = output.manifest()
+    done, until = base.processed.get(name, 0), source.latest()
     if until > done:
-        output.commit(work(source.changes(done, until)), None, {name: until})
+        output.commit(work(source.changes(done, until)), None, {name: until}, base.version)
     return done, until
 
 
@@ -218,6 +220,37 @@ def content_changed(old: str, new: str) -> Column:
     return F.when(a.isNull() | b.isNull(), touched).otherwise(a != b)
 
 
+def recorded_files(files: DataFrame, runs: DataFrame, path: str) -> VersionedTable:
+    """A versioned table of file states whose first version is what the successful runs left."""
+    table = VersionedTable(files.sparkSession, path, "path string, mtime timestamp, size bigint, blob_hash string")
+    if table.latest() == 0:
+        table.commit(file_state(files, runs), parent=0)
+    return table
+
+
+def list_files(table: VersionedTable, listing: DataFrame, remove_missing: bool = True) -> int:
+    """The next version of a table of file states: a listing.
+
+    A listing is a whole snapshot, so one join by path finds the rows that
+    differ: they become a data folder and deletion vectors, all others stay in
+    the files they are in.  ``remove_missing`` drops paths that are not listed."""
+    return table.merge(listing_state(listing), "path", content_changed, remove_missing=remove_missing)
+
+
+def take_up(table: VersionedTable, output: VersionedTable, work: Callable[[DataFrame], DataFrame] = lambda d: d, recorded: int = 1) -> tuple[int, int]:
+    """One run over the paths that are new or changed since the last run that succeeded.
+
+    The first ``recorded`` versions of ``table`` count as processed before the
+    first run.  ``work`` gets the records to take up (path, mtime, size,
+    blob_hash), each path once, from the manifests' difference; its result and
+    the processed version become visible in one commit.  A run that breaks off
+    leaves nothing, and the next takes the same records up again.
+    """
+    if output.latest() == 0:
+        output.commit(processed={"files": recorded}, parent=0)
+    return process_changes(table, output, lambda d: work(d.where("_change = 'insert'").drop("_change")), "files")
+
+
 def file_deltas(files: DataFrame, runs: DataFrame, listing: DataFrame, path: str) -> DataFrame:
     """Deltas of the listing against the recorded files, by table versions under ``path``.
 
@@ -225,7 +258,6 @@ def file_deltas(files: DataFrame, runs: DataFrame, listing: DataFrame, path: str
     difference of their manifests gives the records to take up (insert: new or
     changed, each path once) and the outdated ones (delete).
     """
-    table = VersionedTable(files.sparkSession, path)
-    table.commit(file_state(files, runs))
-    table.merge(listing_state(listing), "path", content_changed)
+    table = recorded_files(files, runs, path)
+    list_files(table, listing)
     return table.changes(1, 2)

@@ -2,7 +2,8 @@
 
 On a cluster the folder named in ``spark.checkpoint.dir`` is shared by all
 executors, so a table written there survives the loss of any of them.  Only
-where that setting is absent (tests, a laptop) is a local folder made.
+where that setting is absent and the master is local (tests, a laptop) is a
+local folder made; elsewhere its absence is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share: intermediate tables are written there")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="driftnet-")
@@ -54,20 +57,18 @@ def stored_by(frame: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
-# Inputs up to this size may be spread over the cores; larger ones have splits enough.
-SMALL_INPUT = 128 << 20
+# Bytes of input for each task of work that is heavy per row.
+TASK_BYTES = 64 << 20
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """``frame`` over all cores where it is small and lies in few files.
+    """``frame`` dealt out evenly, as many parts as its size asks for and at least one per core.
 
-    Heavy work per row on a file of one split would run on one core.  The size
-    is checked on the plan first, so a large input is never shuffled for this.
+    Work of seconds per megabyte must not follow the layout of the files: one
+    row group, or a group of long texts in it, would be one task.  The plan is
+    the same at every size; only the number of parts grows.
     """
     if frame.isStreaming:
         return frame
-    cores = frame.sparkSession.sparkContext.defaultParallelism
     size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT or not 0 < len(frame.inputFiles()) < cores:
-        return frame
-    return frame.repartition(cores)
+    return frame.repartition(min(max(frame.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 1 << 20))

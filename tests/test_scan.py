@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftnet.functions import validate
+from driftnet.operators import report
 from driftnet.operators.scan import ScanOptions, scan
 from driftnet.plans import rules
 from driftnet.sources import files
@@ -145,3 +146,22 @@ def test_packs(spark, tmp_path):
 
 def test_java_patterns():
     assert rules.java_pattern(r"(?P<a_b>x)(?#note)[[:alnum:][&&]") == r"(x)[\p{Alnum}\[\&&]"
+
+
+def test_redacted_contexts_show_no_neighbour(spark):
+    key, word, secret, plain = made("AK" + "IA", 16, UPPER), made("", 18), made("", 40), made("Zq8!", 14)
+    text = f"x: 1\nid: {key} postgres://app:{word}@db.corp.test/main\naws_secret_access_key: {secret}\npassword: {plain}\n"
+    got = scanned(spark, [("a/conf.yml", text)], redact=True)
+    assert {r["rule_id"] for r in got} >= {"aws.access-key-id", "aws.secret-access-key", "generic.database-uri"}
+    for value in (key, word, secret, plain):
+        for r in got:
+            assert value not in str(r) and value[:12] not in r["match_context"] and value[-12:] not in r["match_context"]
+
+
+def test_reports_show_no_neighbour(spark):
+    key, word = made("AK" + "IA", 16, UPPER), made("", 18)
+    line = f"id = {key} ⏎ url = postgres://app:{word}@db.corp.test/main"
+    rows = [("f1", "aws.access-key-id", "a", key, line, None), ("f2", "x", "a", "tiny5", "x = tiny5", f"{key}:{word}"), ("f3", "x", None, None, None, None)]
+    got = {r["fingerprint"]: r for r in report.redacted(spark.createDataFrame(rows, "fingerprint string, rule_id string, logical_path string, secret string, match_context string, secret_v2 string")).collect()}
+    assert key not in str(got) and word not in str(got) and "tiny5" not in str(got)
+    assert got["f3"]["match_context"] is None and got["f3"]["secret"] is None and len(got) == 3
