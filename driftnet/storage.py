@@ -70,5 +70,8 @@ def spread(frame: DataFrame) -> DataFrame:
     """
     if frame.isStreaming:
         return frame
+    spark = frame.sparkSession
     size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return frame.repartition(min(max(frame.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 1 << 20))
+    # Rows that come from no file have no known size: Spark then names the greatest there is.
+    asked = -(-size // TASK_BYTES) if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(max(spark.sparkContext.defaultParallelism, asked))
