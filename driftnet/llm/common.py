@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 LINE_BREAK = re.compile(r"\r?\n")
 
 
-def first_copy(frame: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """One row per key, the one with the smallest ``by``, with nulls last.
+def one_text(frame: DataFrame, key: str) -> DataFrame:
+    """One row per key: the smallest by its other columns, in their order.
 
-    A hash aggregate with map-side combine, so repeated rows collapse before
-    the shuffle and a hot key never gathers in one task.
+    Rows of a key are told apart before they are worked on, so that no result
+    mixes two texts.  The aggregate deals the rows out by key as well, which
+    spreads the work whatever the layout of the files.
     """
-    rest = [c for c in frame.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(F.col(by).isNull(), F.col(by)))
-    return frame.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*frame.columns)
+    rest = [c for c in frame.columns if c != key]
+    return frame.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*").select(*frame.columns)

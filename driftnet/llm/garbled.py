@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import LINE_BREAK, first_copy
-from driftnet.storage import spread
+from driftnet.llm.common import LINE_BREAK, one_text
 
 # Single-byte and multi-byte code pages met in practice.
 READ_AS = ("latin-1", "cp1252", "cp1251", "cp1250", "koi8-r", "cp866", "cp437", "cp850",
@@ -428,21 +427,22 @@ def garbled_lines(blobs: DataFrame) -> DataFrame:
 
     Columns: blob_id, line_no (from 1), state (repaired, partly, lost),
     original, repaired, layers.  Rows with a null blob_id or text give nothing,
-    an empty text gives nothing, repeated rows of a blob_id count once (the
-    smallest text is kept), other columns are ignored whatever their names.
+    an empty text gives nothing, repeated rows of a blob_id count once (of
+    several texts the smallest with a character beyond ASCII), other columns are
+    ignored whatever their names.
     """
     source = blobs.select(F.col("blob_id").cast("bigint").alias("blob_id"), F.col("text").cast("string").alias("text"))
     kept = source.where(F.col("blob_id").isNotNull() & (F.octet_length("text") > F.length("text")))
     schema = "blob_id bigint, line_no int, state string, original string, repaired string, layers string"
-    found = spread(kept).mapInArrow(_scan, schema)
-    return first_copy(found, ["blob_id", "line_no"], "original")
+    return one_text(kept, "blob_id").mapInArrow(_scan, schema)
 
 
 def repaired_texts(blobs: DataFrame) -> DataFrame:
     """``blobs`` (blob_id, text) with every recoverable line restored.
 
     Columns: blob_id, text, n_repaired, n_lost.  Line ends stay as they are.
-    Null texts stay null with zero counts; a blob_id delivered twice comes once.
+    Null texts stay null with zero counts; a blob_id delivered twice comes once
+    (its smallest text, a null text before all others).
     """
     def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -464,5 +464,4 @@ def repaired_texts(blobs: DataFrame) -> DataFrame:
                                   names=["blob_id", "text", "n_repaired", "n_lost"])
 
     source = blobs.select(F.col("blob_id").cast("bigint").alias("blob_id"), F.col("text").cast("string").alias("text"))
-    once = first_copy(source.where("blob_id is not null"), ["blob_id"], "text")
-    return once.mapInArrow(fix, "blob_id bigint, text string, n_repaired int, n_lost int")
+    return one_text(source.where("blob_id is not null"), "blob_id").mapInArrow(fix, "blob_id bigint, text string, n_repaired int, n_lost int")

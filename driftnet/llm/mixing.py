@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import first_copy
-from driftnet.storage import spread, stored
+from driftnet.llm.common import one_text
+from driftnet.storage import stored
 
 # Path of a public byte-level BPE vocabulary (ranks); a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -56,9 +56,8 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source (normalised), n_tokens of each document, written once to
     the shared folder so that totals and drawing do not tokenize twice."""
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source").cast("string")).alias("source"), F.col("text").cast("string").alias("text"))
-    counted = spread(source.where("doc_id is not null and source is not null and text is not null")) \
-        .select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens"))
-    return stored(first_copy(counted, ["doc_id"], "source"), "token-counts")
+    once = one_text(source.where("doc_id is not null and source is not null and text is not null"), "doc_id")
+    return stored(once.select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens")), "token-counts")
 
 
 def rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
@@ -88,17 +87,18 @@ def rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return out
 
 
-def _per_source(rows: list[dict], field: str) -> Column:
-    pairs = [F.lit(x) for r in rows for x in (r["source"], float(r[field]))]
-    return F.try_element_at(F.create_map(*pairs), F.col("source")) if pairs else F.lit(None).cast("double")
+def _rate_table(sizes: DataFrame, rows: list[dict]) -> DataFrame:
+    """source, rate: as many rows as the targets, of which there are MAX_SOURCES at most."""
+    return sizes.sparkSession.createDataFrame([(r["source"], float(r["rate"])) for r in rows], "source string, rate double")
 
 
 def _drawn(sizes: DataFrame, rows: list[dict], seed: int) -> DataFrame:
-    """doc_id, source, n_tokens, copies of each document with a rate."""
-    rate = F.coalesce(_per_source(rows, "rate"), F.lit(0.0))
+    """doc_id, source, n_tokens, copies of each document of a source with a target."""
+    rate = F.col("rate")
     # 52 bits of a hash of id and seed as a number in [0, 1): the same on every run and machine.
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    return sizes.withColumn("copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int"))
+    rated = sizes.join(F.broadcast(_rate_table(sizes, rows)), "source")
+    return rated.select("doc_id", "source", "n_tokens", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int").alias("copies"))
 
 
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str = VOCABULARY, total_tokens: int | None = None) -> DataFrame:
@@ -106,7 +106,8 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: s
 
     A document never comes more often than its source's cap.  Documents with a
     null id, text or source or of a source without target are not drawn; a
-    doc_id delivered twice counts once; join on doc_id for the texts.
+    doc_id delivered twice counts once (smallest source, then text); join on
+    doc_id for the texts.
     """
     sizes = sized(documents, vocabulary)
     drawn = _drawn(sizes, rates(sizes, targets, total_tokens), seed).where("copies > 0")

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import first_copy
-from driftnet.storage import spread
+from driftnet.llm.common import one_text
 
 # Abbreviations that never end a sentence (titles, "for example", "that is").
 _NEVER = frozenset(
@@ -290,5 +289,4 @@ def sentences(documents: DataFrame) -> DataFrame:
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                               F.coalesce(F.lower(F.trim(form)).isin("code", "log"), F.lit(False)).alias("by_line"))
     kept = source.where("doc_id is not null and text is not null and text <> ''")
-    found = spread(kept).mapInArrow(_split, "doc_id bigint, sentence_no int, start_pos bigint, end_pos bigint")
-    return first_copy(found, ["doc_id", "sentence_no"], "end_pos")
+    return one_text(kept, "doc_id").mapInArrow(_split, "doc_id bigint, sentence_no int, start_pos bigint, end_pos bigint")

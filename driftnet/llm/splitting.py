@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import first_copy
+from driftnet.llm.common import one_text
 
 # Lines on each side whose words are compared.
 BLOCK_LINES = 8
@@ -192,18 +192,13 @@ def pieces(blobs: DataFrame, limits: DataFrame) -> DataFrame:
     if len(rows) > MAX_LIMITS:
         raise ValueError(f"more than {MAX_LIMITS} limits")
     by_type = {r["k"]: (max(4, r["x"]["m"]), max(0, r["x"]["o"])) for r in rows}
-    other = by_type.pop("*", None)
+    other = by_type.pop("*", (None, None))
+    table = blobs.sparkSession.createDataFrame([(k, *v) for k, v in by_type.items()], "k string, m int, o int")  # MAX_LIMITS rows at most
     source = blobs.select(
         F.col("blob_id").cast("bigint").alias("blob_id"), F.col("text").cast("string").alias("text"), media_key(F.col("media_type")).alias("k"),
         *(F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(c) for c, t in (("line_offset", "int"), ("byte_offset", "bigint"), ("commit_line", "int"))))
 
-    def limit(i: int) -> Column:
-        default = F.lit(other[i] if other else None).cast("int")
-        if not by_type:
-            return default
-        table = F.create_map(*(F.lit(x) for k, v in by_type.items() for x in (k, v[i])))
-        return F.coalesce(F.try_element_at(table, F.coalesce(F.col("k"), F.lit(""))), default)
-
-    kept = source.withColumns({"max_bytes": limit(0), "overlap": limit(1)}).where("blob_id is not null and octet_length(text) > max_bytes")
-    once = first_copy(kept.select("blob_id", "text", "max_bytes", "overlap", "line_offset", "byte_offset", "commit_line"), ["blob_id"], "text")
+    limited = source.join(F.broadcast(table), "k", "left").withColumns({"max_bytes": F.coalesce("m", F.lit(other[0]).cast("int")), "overlap": F.coalesce("o", F.lit(other[1]).cast("int"))})
+    kept = limited.where("blob_id is not null and octet_length(text) > max_bytes")
+    once = one_text(kept.select("blob_id", "text", "max_bytes", "overlap", "line_offset", "byte_offset", "commit_line"), "blob_id")
     return once.mapInArrow(_pieces, "blob_id bigint, piece_no int, n_pieces int, text string, line_offset int, byte_offset bigint, commit_line int, long_line int")
