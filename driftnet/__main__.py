@@ -12,9 +12,11 @@ from driftnet.functions import scope
 from driftnet.functions import text as tx
 from driftnet.operators import findings as found
 from driftnet.operators import report
+from driftnet.operators.runs import ScanState
 from driftnet.operators.scan import ScanOptions, scan
 from driftnet.plans import rules
 from driftnet.sources import files, git
+from driftnet.storage import stored
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -39,22 +41,45 @@ def _parser() -> argparse.ArgumentParser:
     one.add_argument("--words", help="file of words that mark a value as a name")
     one.add_argument("--max-file-size", type=int, default=files.Limits.file_bytes)
     one.add_argument("--archive-depth", type=int, default=files.Limits.depth)
+    one.add_argument("--db", help="folder with the state of earlier scans: only new and changed files are scanned, the others' findings are carried")
+    one.add_argument("--new-only", action="store_true", help="with --db: only findings no earlier scan has seen")
+    one.add_argument("--errors", help="folder for what could not be read (JSON); by default it is shown")
+    one.add_argument("--show-secrets", action="store_true", help="do not redact; never with --db")
     commands.add_parser("rules", help="list the built-in rules")
     commands.add_parser("classify", help="categories of paths").add_argument("paths", nargs="+")
     return parser
 
 
-def _blobs(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    if args.kind == "git-history":
-        return git.history_blobs(spark, args.path, args.since)
-    if args.kind == "staged":
-        return git.staged_blobs(spark, args.path)
+def _files(spark: SparkSession, args: argparse.Namespace, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blobs, errors) of files under a path, or of those of them that ``paths`` names."""
     limits = files.Limits(file_bytes=args.max_file_size, depth=args.archive_depth)
-    listed = files.walk(spark, args.path, args.include, args.exclude, args.category or None, args.scope_only, args.all_dirs, not args.no_hidden)
-    small, _ = files.readable(listed, limits)
+    listed = _listed(spark, args)
+    if paths is not None:
+        listed = listed.join(paths, "path", "left_semi")
+    small, large = files.readable(listed, limits)
     if args.kind == "image":
-        return files.image_blobs(small, args.path.rsplit("/", 1)[-1].removesuffix(".tar"), limits)
-    return files.pieces(files.texts(files.unpacked(small, limits)), limits)
+        return files.image_blobs(small, args.path.rsplit("/", 1)[-1].removesuffix(".tar"), limits), large
+    leaves = files.unpacked(small, limits)
+    errors = large.unionByName(leaves.where("message <> ''").select(F.col("logical_path").alias("source_path"), "message"))
+    return files.pieces(files.texts(leaves), limits), errors
+
+
+def _listed(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    return files.walk(spark, args.path, args.include, args.exclude, args.category or None, args.scope_only, args.all_dirs, not args.no_hidden)
+
+
+def _scanned(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame | None]:
+    """(findings, errors) of what the arguments name."""
+    options = _options(args)
+    if args.kind == "git-history":
+        return scan(git.history_blobs(spark, args.path, args.since), options), None
+    if args.kind == "staged":
+        return scan(git.staged_blobs(spark, args.path), options), None
+    if not args.db:
+        blobs, errors = _files(spark, args)
+        return scan(blobs, options), errors
+    listing = _listed(spark, args).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return ScanState(spark, args.db).run(listing, lambda paths: scan(_files(spark, args, paths)[0], options)), _files(spark, args)[1]
 
 
 def _options(args: argparse.Namespace) -> ScanOptions:
@@ -65,7 +90,7 @@ def _options(args: argparse.Namespace) -> ScanOptions:
     if args.words:
         with open(args.words, encoding="utf-8") as lines:
             words = [w.strip() for w in lines if w.strip()]
-    return ScanOptions(tuple(chosen), args.min_confidence, args.min_severity, not args.no_regex, not args.no_entropy, not args.no_keyname, not args.no_decoders, words=tuple(words))
+    return ScanOptions(tuple(chosen), args.min_confidence, args.min_severity, not args.no_regex, not args.no_entropy, not args.no_keyname, not args.no_decoders, words=tuple(words), redact=not args.show_secrets)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -81,16 +106,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in rows.select("p", F.array_join(kinds, ",").alias("k"), scope.boost(kinds).alias("b"), scope.allowed(F.col("p")).alias("a")).collect():
             print(f"{r['p']}\t{r['k'] or '-'}\t{r['b']:.2f}\t{'scanned' if r['a'] else 'skipped'}")
         return 0
-    from driftnet.storage import stored
-
-    result = scan(_blobs(spark, args), _options(args))
+    if (args.new_only and not args.db) or (args.show_secrets and args.db):
+        print("--new-only needs --db, and a --db never holds secrets", file=sys.stderr)
+        return 2
+    result, errors = _scanned(spark, args)
     if args.baseline:
         result = found.without_baseline(result, report.load_baseline(spark, args.baseline))
+    if args.new_only:
+        result = result.where("is_new")
     if args.only_actionable:
         result = result.where(tx.actionability_rank(F.col("actionability")) >= 2)
     result = stored(result, "scan")  # scanned once, however often it is read below
     if args.format == "table":
-        print(report.table_text(result, args.max_rows))
+        print(report.table_text(result, args.max_rows, False))
     elif args.format == "summary":
         for r in report.summary(result).collect():
             print(f"{r['kind']}\t{r['name']}\t{r['n']}")
@@ -98,9 +126,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("json and sarif need --output", file=sys.stderr)
         return 2
     elif args.format == "json":
-        report.json_rows(result).select("document").write.text(args.output)
+        report.json_rows(result, False).select("document").write.text(args.output)
     else:
         report.write_sarif(result, args.output)
+    if errors is not None and args.errors:
+        errors.write.mode("overwrite").json(args.errors)
+    elif errors is not None:
+        for r in errors.groupBy("message").agg(F.count(F.lit(1)).alias("n"), F.min("source_path").alias("first")).orderBy("message").collect():
+            print(f"not read: {r['message']} ({r['n']}, first {r['first']})", file=sys.stderr)
     return report.exit_code(result, args.fail_on)
 
 

@@ -50,9 +50,9 @@ def redacted(findings: DataFrame) -> DataFrame:
     return out.withColumns({c: tx.redact(F.col(c)) for c in ("secret", "secret_v2") if c in names}).select(*(f"`{c}`" for c in names))
 
 
-def json_rows(findings: DataFrame) -> DataFrame:
-    """One JSON document per finding, secrets redacted."""
-    shown = redacted(findings)
+def json_rows(findings: DataFrame, hide: bool = True) -> DataFrame:
+    """One JSON document per finding, secrets redacted unless they are already."""
+    shown = redacted(findings) if hide else findings
     return shown.select("fingerprint", F.to_json(F.struct(*(c for c in shown.columns))).alias("document"))
 
 
@@ -94,9 +94,10 @@ def summary(findings: DataFrame) -> DataFrame:
         .unionByName(by_rule(findings).select(F.lit("rule").alias("kind"), F.coalesce("rule_id", F.lit("")).alias("name"), "n"))
 
 
-def table_text(findings: DataFrame, rows: int = 50) -> str:
-    """The first rows in report order as text, secrets redacted."""
-    shown = findings.orderBy(*report_order()).limit(rows).select("severity", "rule_id", tx.short_path(F.col("logical_path")).alias("path"), "line", tx.redact(F.col("secret")).alias("secret"), "confidence").collect()
+def table_text(findings: DataFrame, rows: int = 50, hide: bool = True) -> str:
+    """The first rows in report order as text, secrets redacted unless they are already."""
+    secret = tx.redact(F.col("secret")) if hide else F.col("secret")
+    shown = findings.orderBy(*report_order()).limit(rows).select("severity", "rule_id", tx.short_path(F.col("logical_path")).alias("path"), "line", secret.alias("secret"), "confidence").collect()
     head = ("severity", "rule", "path", "line", "secret", "confidence")
     cells = [head, *(tuple(str(x) for x in r) for r in shown)]
     width = [max(len(r[i]) for r in cells) for i in range(len(head))]

@@ -301,7 +301,9 @@ def link_pairs(found: DataFrame, pairs: Sequence[tuple[str, str, int]] = PAIRS)
     met), if near enough; a secret takes the pair of the last id that chose it.
 
     Only rows of the pairs' rules carry a blob key into the window; the others
-    get one of their own, so that no blob's other findings gather anywhere.
+    get one of their own, so that no blob's other findings gather anywhere.  A
+    row sees the lines that can matter, twice the pairs' reach on both sides:
+    those of an id it may belong to, and of that id's other choices.
     """
     involved = [r for p in pairs for r in p[:2]]
     one = F.when(F.col("rule_id").isin(*involved), F.concat_ws("\0", "logical_path", F.col("line_offset").cast("string"))).otherwise(
@@ -309,7 +311,8 @@ def link_pairs(found: DataFrame, pairs: Sequence[tuple[str, str, int]] = PAIRS)
     keyed = found.withColumn("_blob", one)
     order = F.struct("view_ord", "pass_ord", "rule_ord", "start")
     member = F.when(F.col("rule_id").isin(*involved), F.struct(order.alias("o"), F.col("rule_id").alias("r"), F.col("line").alias("l"), F.col("secret").alias("s")))
-    rows = keyed.withColumn("_all", F.array_sort(F.collect_list(member).over(Window.partitionBy("_blob"))))
+    reach = 2 * max((w for _, _, w in pairs), default=0)
+    rows = keyed.withColumn("_all", F.array_sort(F.collect_list(member).over(Window.partitionBy("_blob").orderBy("line").rangeBetween(-reach, reach))))
     combined, note = F.lit(None).cast("string"), F.lit(None).cast("string")
     for id_rule, secret_rule, window in pairs:
         secrets = F.filter("_all", _has_rule(secret_rule))

@@ -84,6 +84,43 @@ def scan_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(cut, ScanOptions(entropy=False, keynames=False, decoders=False)).select("logical_path", "rule_id", "line", "secret")
 
 
+def scan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule pass with all rules, endpoints and addresses included: where each value stands first and what it is paired with."""
+    found = scan(stored_blobs(spark, sf_dir), ScanOptions(entropy=False, keynames=False, decoders=False, min_confidence=0.0, min_severity="info"))
+    return found.select("logical_path", "rule_id", "line", "column_no", "secret", "secret_v2")
+
+
+def scan_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the documents."""
+    found = scan(document_blobs(spark, sf_dir), ScanOptions(entropy=False, keynames=False, decoders=False, min_confidence=0.0, min_severity="info"))
+    return found.select("logical_path", "rule_id", "line", "column_no", "secret", "secret_v2")
+
+
+def scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entropy pass: long random tokens by their first place."""
+    found = scan(stored_blobs(spark, sf_dir), ScanOptions(regex=False, keynames=False, decoders=False, min_confidence=0.0, min_severity="info"))
+    return found.select("logical_path", "rule_id", "line", "column_no", "secret")
+
+
+def scan_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the documents."""
+    found = scan(document_blobs(spark, sf_dir), ScanOptions(regex=False, keynames=False, decoders=False, min_confidence=0.0, min_severity="info"))
+    return found.select("logical_path", "rule_id", "line", "column_no", "secret")
+
+
+def redacted_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as a report shows them: rows, contexts, and contexts that still show a known value of their path."""
+    rows = _findings(spark, sf_dir).select("fingerprint", "logical_path", "secret", "match_context")
+    shown = report.redacted(rows)
+    # Values of eight characters and more that are not masked in the table; their first eight find them in a context.
+    known = rows.where(r"length(secret) >= 8 and not secret rlike '[*]{2}|[.]{3}|…'").select("logical_path", F.col("secret").alias("known"), F.substring("secret", 1, 8).alias("k")).distinct()
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("match_context") - 7), lambda i: F.substring(F.col("match_context"), i, F.lit(8))))
+    asked = shown.where("length(match_context) >= 8").select("logical_path", "match_context").distinct().select("logical_path", "match_context", F.explode(starts).alias("k"))
+    leaks = asked.join(known, ["logical_path", "k"]).where(F.contains("match_context", F.col("known"))).agg(F.count(F.lit(1)).alias("n_leaks"), F.lit(1).alias("_k"))
+    counts = shown.agg(F.count(F.lit(1)).alias("n"), F.count("match_context").alias("n_contexts"), F.count("secret").alias("n_secrets"), F.lit(1).alias("_k"))
+    return counts.join(leaks, "_k").drop("_k")  # two single rows
+
+
 _FORMATS = ("aws.access-key-id", "gcp.api-key", "gitlab.token", "slack.token", "stripe.secret-key", "npm.token", "sendgrid.api-key", "crypto.private-key", "generic.internal-url", "generic.database-uri", "generic.basic-auth-url")
 
 
@@ -178,7 +215,8 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "files").where("path is not null").select("path").distinct()
-    kinds = scope.categories(F.col("path"))
+    # Through a generator, so that the categories are found once for both of their uses.
+    rows, kinds = rows.select("path", F.explode(F.array(scope.categories(F.col("path")))).alias("kinds")), F.col("kinds")
     return rows.select("path", scope.extension(F.col("path")).alias("extension"), F.array_join(kinds, ",").alias("categories"), scope.boost(kinds).alias("boost"), scope.allowed(F.col("path")).alias("allowed"),
                        scope.denied_folder(F.col("path")).alias("denied"))
 
@@ -228,9 +266,11 @@ def once_per_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the arrays a grouping by path makes, summed again."""
+    """What the arrays of a grouping by path hold: how many findings, and the sum of their digests."""
     parts = found.by_path(_findings(spark, sf_dir), 500)
-    return parts.groupBy("logical_path").agg(F.sum(F.size("findings")).cast("bigint").alias("n"))
+    one = F.concat_ws("|", "f.rule_id", F.col("f.line").cast("string"), "f.fingerprint")
+    rows = parts.select("logical_path", F.explode("findings").alias("f")).select("logical_path", F.conv(F.substring(F.md5(one.cast("binary")), 1, 8), 16, 10).cast("bigint").alias("d"))
+    return rows.groupBy("logical_path").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("digest"))
 
 
 def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +309,7 @@ def content_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.sarif_results(_findings(spark, sf_dir)).drop("result").distinct()
+    return report.sarif_results(_findings(spark, sf_dir)).distinct()
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,13 +370,14 @@ def decoded_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def escape_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "blob_texts").where(F.col("text").rlike(r"\\u00[0-9a-fA-F]{2}") & ~F.col("text").rlike(r"\\x[0-9a-fA-F]{2}"))
-    return rows.select("blob_id", F.md5(decode.escape_view(F.col("text")).cast("binary")).alias("digest")).distinct()
+    rows = table(spark, sf_dir, "blob_texts").withColumn("view", decode.escape_view(F.col("text"))).where("view is not null")
+    return rows.select("blob_id", F.md5(F.col("view").cast("binary")).alias("digest")).distinct()
 
 
 def percent_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "blob_texts").where(F.col("text").rlike("%[0-7][0-9a-fA-F]"))
-    return rows.select("blob_id", F.md5(decode.percent_view(F.col("text")).cast("binary")).alias("digest")).distinct()
+    """Percent views of the findings' contexts."""
+    rows = table(spark, sf_dir, "findings").select(F.col("match_context").alias("context")).distinct().withColumn("view", decode.percent_view(F.col("context"))).where("view is not null")
+    return rows.select("context", "view")
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,7 +448,7 @@ def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _core() -> tuple[Callable[[SparkSession, str], DataFrame], ...]:
-    return (scan_documents, scan_blobs, scan_blobs_redacted, scan_in_pieces, format_matches, match_places, ipv4_classes, login_uris, assignment_matches, long_tokens, secret_shapes, structural_noise,
+    return (scan_documents, scan_blobs, scan_blobs_redacted, scan_rules, scan_document_rules, scan_tokens, scan_document_tokens, redacted_contexts, scan_in_pieces, format_matches, match_places, ipv4_classes, login_uris, assignment_matches, long_tokens, secret_shapes, structural_noise,
             sensitive_keys, env_pairs, shell_pairs, hcl_pairs, configuration_pairs, event_properties, path_scope, context_penalties, path_parts, fingerprints, action_tiers, severity_counts, findings_summary,
             severity_rule_rollup, once_per_fingerprint, findings_by_path, top_findings, ranked_in_blob, capped_per_source, without_baseline, nearest_pairs, evaluation, content_copies, sarif_rows, json_report,
             unchanged_files, carried_findings, finding_history, new_and_known, cached_verdicts, providers, revocation_plan, rescored, decoded_views, escape_views, percent_views, event_windows, event_sessions,
@@ -421,7 +462,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from driftnet.plans.oracles import SQL
 
+    from driftnet.plans import scan_oracle
+
     return dict(SQL) | {
+        "scan_rules": scan_oracle.rule_scan_sql(), "scan_document_rules": scan_oracle.rule_scan_sql(scan_oracle.DOCUMENTS),
+        "scan_tokens": scan_oracle.token_scan_sql(), "scan_document_tokens": scan_oracle.token_scan_sql(scan_oracle.DOCUMENTS),
+        "path_scope": scan_oracle.path_scope_sql(),
         "p4_found": _STATES + " select path from b where changed and n is not null",
         "p4_deltas": _STATES + """
           select path, n.m as mtime, n.s as size, n.h as blob_hash, 'insert' as change from b where changed and n is not null

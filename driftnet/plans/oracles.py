@@ -102,7 +102,9 @@ SQL: dict[str, str] = {
     "once_per_fingerprint": """
       select fingerprint, m.rule_id as rule_id, m.logical_path as logical_path, m.line as line, m.column_no as column_no from (
         select fingerprint, min({'line': line, 'column_no': column_no, 'rule_id': rule_id, 'logical_path': logical_path}) as m from findings where fingerprint is not null group by 1)""",
-    "findings_by_path": "select logical_path, count(*) as n from findings where logical_path is not null group by 1",
+    "findings_by_path": """
+      select logical_path, count(*) as n, sum(('0x' || left(md5(concat_ws('|', rule_id, line, fingerprint)), 8))::bigint)::bigint as digest from findings where logical_path is not null group by 1""",
+    "redacted_contexts": "select count(*) as n, count(match_context) as n_contexts, count(secret) as n_secrets, 0::bigint as n_leaks from findings",
     "top_findings": f"""
       select distinct {_TIER} as actionability, severity, confidence, logical_path, line, fingerprint from findings where fingerprint is not null
       order by {_TIER_RANK} desc, {_RANK.replace('@@', 'severity')} desc, confidence desc, logical_path, line, fingerprint limit 100""",
@@ -123,9 +125,11 @@ SQL: dict[str, str] = {
         coalesce(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(n, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(n, 0), 0), 0.0)::double as f1 from c""",
     "content_copies": "select sha256(text) as content_hash, count(*) as n_copies, min(logical_path) as logical_path from blob_texts where text is not null group by 1",
     "sarif_rows": """
-      select distinct rule_id, case lower(severity) when 'critical' then 'error' when 'high' then 'error' when 'medium' then 'warning' when 'low' then 'note' when 'info' then 'note' end as level,
-        case lower(severity) when 'critical' then '9.5' when 'high' then '8.0' when 'medium' then '5.5' when 'low' then '3.0' when 'info' then '1.0' end as security_severity,
-        replace(replace(logical_path, '\\', '/'), ' ', '%20') as uri, greatest(line, 1)::int as line, fingerprint from findings""",
+      with s as (select rule_id, case lower(severity) when 'critical' then 'error' when 'high' then 'error' when 'medium' then 'warning' when 'low' then 'note' when 'info' then 'note' end as level,
+          case lower(severity) when 'critical' then '9.5' when 'high' then '8.0' when 'medium' then '5.5' when 'low' then '3.0' when 'info' then '1.0' end as security_severity,
+          replace(replace(logical_path, '\\', '/'), ' ', '%20') as uri, greatest(line, 1)::int as line, fingerprint, logical_path from findings)
+      select distinct rule_id, level, security_severity, uri, line, fingerprint, to_json({'ruleId': rule_id, 'level': level, 'message': {'text': rule_id || ' in ' || logical_path},
+        'locations': [{'physicalLocation': {'artifactLocation': {'uri': uri}, 'region': {'startLine': line}}}], 'partialFingerprints': {'secretIdentity/v1': fingerprint}})::varchar as result from s""",
     "unchanged_files": f"with {_LATEST} select path, unchanged from u",
     "carried_findings": f"with {_LATEST} select distinct fingerprint, rule_id, source_path, line, true as carried from findings where source_path in (select path from u where unchanged)",
     "finding_history": """
@@ -149,11 +153,15 @@ SQL: dict[str, str] = {
       select fingerprint, round(case when confidence >= 0.85 or detector = 'keyname' then confidence when share >= 0.35 then greatest(confidence, least(0.9::double, confidence + 0.1::double))
         when share < 0.175 then greatest(0.05::double, confidence - 0.1::double) else confidence end, 3) as confidence from d""",
     "escape_views": r"""
-      with m as (select distinct blob_id, string_split_regex(text, '\\[uU]00[0-9a-fA-F]{2}') as gaps, regexp_extract_all(text, '\\[uU]00([0-9a-fA-F]{2})', 1) as hits from blob_texts where regexp_matches(text, '\\u00[0-9a-fA-F]{2}') and not regexp_matches(text, '\\x[0-9a-fA-F]{2}'))
-      select distinct blob_id, md5(array_to_string(list_transform(list_zip(gaps, hits), lambda z: z[1] || coalesce(chr(('0x' || z[2])::int), '')), '')) as digest from m""",
+      with u as (select blob_id, text, string_split_regex(text, '\\[uU]00[0-9a-fA-F]{2}') as gaps, regexp_extract_all(text, '\\[uU]00([0-9a-fA-F]{2})', 1) as hits from blob_texts where text is not null),
+      v as (select blob_id, text, array_to_string(list_transform(list_zip(gaps, hits), lambda z: z[1] || coalesce(chr(('0x' || z[2])::int), '')), '') as once from u),
+      x as (select blob_id, text, string_split_regex(once, '\\x[0-9a-fA-F]{2}') as gaps, regexp_extract_all(once, '\\x([0-9a-fA-F]{2})', 1) as hits from v),
+      y as (select blob_id, text, array_to_string(list_transform(list_zip(gaps, hits), lambda z: z[1] || coalesce(chr(('0x' || z[2])::int), '')), '') as view from x)
+      select distinct blob_id, md5(view) as digest from y where view <> text""",
     "percent_views": r"""
-      with m as (select distinct blob_id, string_split_regex(text, '%[0-9a-fA-F]{2}') as gaps, regexp_extract_all(text, '%([0-9a-fA-F]{2})', 1) as hits from blob_texts where regexp_matches(text, '%[0-7][0-9a-fA-F]'))
-      select distinct blob_id, md5(array_to_string(list_transform(list_zip(gaps, hits), lambda z: z[1] || coalesce(chr(('0x' || z[2])::int), '')), '')) as digest from m""",
+      with m as (select distinct match_context as context, string_split_regex(match_context, '%[0-9a-fA-F]{2}') as gaps, regexp_extract_all(match_context, '%([0-9a-fA-F]{2})', 1) as hits from findings where match_context is not null),
+      y as (select context, array_to_string(list_transform(list_zip(gaps, hits), lambda z: z[1] || coalesce(chr(('0x' || z[2])::int), '')), '') as view from m)
+      select context, view from y where view <> context""",
     "event_windows": "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events where ts is not null group by 1, 2",
     "event_sessions": """
       with s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as g from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events where ts is not null))

@@ -1,6 +1,7 @@
 """The command line, signatures and counters."""
 
 import io
+import json
 import random
 import string
 import tarfile
@@ -65,3 +66,42 @@ def test_public_names():
     import driftnet
 
     assert driftnet.ScanOptions().min_severity == "low" and callable(driftnet.scan) and len(driftnet.BUILT_IN) == 36
+
+
+def test_incremental_scans(spark, tmp_path, capsys):
+    import os
+
+    where, db, out = tmp_path / "t", str(tmp_path / "db"), str(tmp_path / "out")
+    where.mkdir()
+    other = "glpat" + "-" + "".join(random.Random(2).choices(string.ascii_letters, k=20))
+    (where / "a.txt").write_text(f"X={TOKEN}\n")
+    (where / "b.txt").write_text("nothing\n")
+    run = ["scan", str(where), "--db", db, "--no-entropy", "--no-keyname", "-f", "json"]
+
+    def report_of(name, *more):
+        main([*run, "-o", f"{out}/{name}", *more], spark)
+        return [json.loads(r[0]) for r in spark.read.text(f"{out}/{name}").collect()]
+
+    first = report_of("1")
+    assert [(r["is_new"], r["carried"]) for r in first if r["rule_id"] == "gitlab.token"] == [(True, False)]
+    again = report_of("2")
+    assert [(r["is_new"], r["carried"]) for r in again if r["rule_id"] == "gitlab.token"] == [(False, True)]
+    (where / "b.txt").write_text(f"Y={other}\n")
+    os.utime(where / "b.txt", (2e9, 2e9))
+    assert {os.path.basename(r["source_path"]) for r in report_of("3", "--new-only")} == {"b.txt"}
+    (where / "a.txt").unlink()
+    assert {os.path.basename(r["source_path"]) for r in report_of("4")} == {"b.txt"}
+    assert main(["scan", str(where), "--new-only"], spark) == 2
+    # Nothing under the state folder holds a value in clear.
+    for folder, _, names in os.walk(db):
+        for name in names:
+            with open(os.path.join(folder, name), "rb") as file:
+                body = file.read()
+            assert TOKEN.encode() not in body and other.encode() not in body
+
+
+def test_errors_are_shown(spark, tmp_path, capsys):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "x.zip").write_bytes(b"PK\x03\x04broken")
+    assert main(["scan", str(tmp_path / "e")], spark) == 0
+    assert "not read: zip" in capsys.readouterr().err

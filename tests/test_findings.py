@@ -108,3 +108,30 @@ def test_rescored(spark):
 
 def test_ranks(spark):
     assert [r[0] for r in spark.createDataFrame([("critical",), ("INFO",), ("odd",)], "s string").select(tx.severity_rank(F.col("s"))).collect()] == [4, 0, None]
+
+
+def test_asking_providers(spark):
+    rows = [("github.token", "g1", None, 0.9), ("github.token", "g1", None, 0.8), ("slack.token", "s1", None, 0.9), ("slack.token", "s2", None, 0.9), ("stripe.secret-key", "p1", None, 0.9), ("openai.api-key", "o1", None, 0.9),
+            ("aws.access-key-id", "AK" + "ID", "AK" + "ID:key", 0.9), ("aws.access-key-id", "lone", None, 0.9), ("gcp.api-key", "x", None, 0.9), ("github.token", "unsure", None, 0.3), ("other", "y", None, 0.9), ("stripe.secret-key", None, None, 0.9)]
+    f = spark.createDataFrame(rows, "rule_id string, secret string, secret_v2 string, confidence double")
+
+    def send(request):
+        login = request.headers["Authorization"]
+        if "github" in request.url:
+            return 200, {"X-OAuth-Scopes": "repo, gist"}, '{"login": "dev"}'
+        if "slack" in request.url:
+            return 200, {}, '{"ok": true, "user": "u", "team": "t"}' if login.endswith("s1") else '{"ok": false}'
+        if "stripe" in request.url:
+            raise TimeoutError
+        if "openai" in request.url:
+            return 500, {}, ""
+        assert login.startswith("AWS4-HMAC-SHA256 Credential=AK" + "ID/") and "GetCallerIdentity" in request.body
+        return 200, {}, "<Arn>arn:x</Arn><Account>7</Account>"
+
+    got = sorted((r["provider"], r["verdict"], r["note"], r["identity"], r["team"]) for r in verify.asked_about(f, send).collect())
+    assert got == [("aws", "active", "aws arn:x", "arn:x", "7"), ("aws", "unsupported", "no pair of id and secret", None, None), ("gcp", "unsupported", "no verifier", None, None),
+                   ("github", "active", "github dev scopes: repo, gist", "dev", None), ("openai", "error", "openai http 500", None, None), ("slack", "active", "slack u", "u", "t"),
+                   ("slack", "inactive", "slack rejected", None, None), ("stripe", "error", "stripe: TimeoutError", None, None)]
+    cache = f.where("secret = 'g1'").select(state.secret_key().alias("secret_hash"))
+    assert "github" not in {r["provider"] for r in verify.asked_about(f, send, cache).collect()}
+    assert verify.asked_about(f, send, budget=2).count() == 2 and verify.asked_about(f.limit(0), send).count() == 0
