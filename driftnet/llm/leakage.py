@@ -32,6 +32,8 @@ WORD = re.compile(r"[^\W_]+")
 BLOCK_WINDOWS = 1_000_000
 # Words fingerprinted at once; bounds the bit matrix to about 40 MB.
 _CHUNK = 60_000
+# Meetings of windows in a block compared at once (about 100 MB), but for one row's at least.
+_MEETINGS = 2_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -100,8 +102,10 @@ class Index:
             key = ((prints >> low) & mask).astype(np.int64)
             count = starts[key + 1] - starts[key]
             hit = np.flatnonzero(count)
-            for a in range(0, len(hit), 200_000):
-                rows = hit[a:a + 200_000]
+            # Cut where the meetings, not the rows, reach a bound: a block many windows share stays small in memory.
+            met = np.cumsum(count[hit])
+            cuts = np.searchsorted(met, np.arange(_MEETINGS, (met[-1] if len(met) else 0) + _MEETINGS, _MEETINGS))
+            for rows in np.split(hit, np.unique(np.minimum(cuts + 1, len(hit)))):
                 n = count[rows]
                 who = np.repeat(rows, n)
                 offset = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)

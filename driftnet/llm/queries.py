@@ -52,6 +52,24 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oversized blobs put together again from their pieces: bytes and digest.
+
+    Each piece gives what lies beyond the end of the one before it by its byte offset; a piece
+    that left a hole would shift all that follows."""
+    rows = _pieces(spark, sf_dir).select("blob_id", F.struct("piece_no", "byte_offset", F.col("text").cast("binary").alias("b")).alias("p"))
+    # As many bytes a row as the blob itself, which was one row before.
+    ordered = rows.groupBy("blob_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    none = F.struct(F.get("ps", F.lit(0))["byte_offset"].alias("end"), F.lit(b"").alias("b"))
+
+    def step(acc, p):  # noqa: ANN001, ANN202
+        own = F.substring(p["b"], (acc["end"] - p["byte_offset"] + 1).cast("int"), F.octet_length(p["b"]))
+        return F.struct((p["byte_offset"] + F.octet_length(p["b"])).alias("end"), F.concat(acc["b"], own).alias("b"))
+
+    joined = ordered.select("blob_id", F.aggregate("ps", none, step, lambda acc: acc["b"]).alias("b"))
+    return joined.select("blob_id", F.octet_length("b").cast("bigint").alias("n_bytes"), F.md5("b").alias("digest"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that hold a credential value."""
     return credentials.credential_places(_table(spark, sf_dir, "blob_texts")).select("blob_id", "line_no").distinct()
@@ -79,6 +97,16 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
 
 
+def p7_draw_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target: its share and documents, whether each document was drawn as often as the rate says, and never beyond the cap."""
+    r = mixing.mix_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+    least = F.floor("rate") * F.col("n_docs")
+    wide = 6 * F.sqrt(F.col("n_docs").cast("double")) + 1  # six deviations of the one copy more or less, at most
+    expected = F.col("rate") * F.col("n_docs")
+    return r.select("source", F.round("target_share", 6).alias("target_share"), "n_docs", F.col("drawn_docs").between(least, least + F.col("n_docs")).alias("between_whole_rates"),
+                    (F.abs(F.col("drawn_docs") - expected) <= wide).alias("near_rate"), (F.col("drawn_docs") <= F.col("max_repeats") * F.col("n_docs")).alias("within_cap"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence ends of the prose documents."""
     prose = _table(spark, sf_dir, "documents").where("form = 'prose'")
@@ -89,10 +117,15 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_table(spark, sf_dir, "documents"))
 
 
+def p8_line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of documents of form code and log: their lines."""
+    return sentences.sentences(_table(spark, sf_dir, "documents").where("form in ('code', 'log')"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_repaired_lines, p2_found, p2_verdicts, p2_refreshed_history, p3_found, p3_pieces, p5_found,
-        p5_redacted_findings, p6_found, p6_leaks, p7_mixture, p7_source_shares, p8_found, p8_sentences)}
+        p1_found, p1_repaired_lines, p2_found, p2_verdicts, p2_refreshed_history, p3_found, p3_pieces, p3_rejoined, p5_found,
+        p5_redacted_findings, p6_found, p6_leaks, p7_mixture, p7_source_shares, p7_draw_bounds, p8_found, p8_sentences, p8_line_units)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -128,6 +161,21 @@ def oracle_sql() -> dict[str, str]:
           select blob_id, 0 as line_no from b union
           select blob_id, i::int from (select blob_id, max_bytes, unnest(lines) as line, generate_subscripts(lines, 1) as i
             from (select *, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as lines from b)) where strlen(line) > max_bytes""",
+        "p2_verdicts": earlier + """
+          select arrival_id, by_fingerprint, by_blob, by_context and not by_fingerprint and not by_blob as by_context, not (by_fingerprint or by_blob or by_context) as is_new from v""",
+        "p3_rejoined": """
+          with b as (select blob_id, text, coalesce(l.max_bytes, (select max_bytes from split_limits where media_type = '*')) as max_bytes
+              from blob_texts t left join split_limits l on lower(trim(split_part(t.media_type, ';', 1))) = lower(l.media_type))
+          select blob_id, strlen(min(text)) as n_bytes, md5(min(text)) as digest from b where strlen(text) > max_bytes group by 1""",
+        "p7_draw_bounds": """
+          with t as (select lower(trim(source)) as source, sum(target_share) / sum(sum(target_share)) over () as share from mix_targets where target_share > 0 group by 1),
+          d as (select lower(trim(source)) as source, count(distinct doc_id) as n from documents where text is not null group by 1)
+          select t.source, round(share, 6) as target_share, coalesce(n, 0) as n_docs, true as between_whole_rates, true as near_rate, true as within_cap from t left join d using (source)""",
+        "p8_line_units": r"""
+          with d as (select doc_id, min(text) as text from documents where text <> '' and form in ('code', 'log') group by 1),
+          l as (select doc_id, string_split(text, chr(10)) as x from d), i as (select *, unnest(generate_series(1, len(x))) as i from l),
+          p as (select doc_id, i, x[i] as line, coalesce(list_sum(list_transform(x[1:i - 1], lambda y: length(y) + 1)), 0)::bigint as begin from i where regexp_matches(x[i], '\S'))
+          select doc_id, row_number() over (partition by doc_id order by i)::int as sentence_no, begin + length(line) - length(regexp_replace(line, '^\s+', '')) as start_pos, begin + length(regexp_replace(line, '\s+$', '')) as end_pos from p""",
         "p6_found": f"""
           with d as (select distinct doc_id, {words} as w from documents where text is not null),
           b as (select distinct item_id, {words} as w from benchmark where text is not null),

@@ -54,6 +54,15 @@ def test_multi_index_finds_all_within_the_radius(radius):
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+def test_blocks_that_many_share_are_cut(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**16, 400, dtype=np.uint64) << np.uint64(40)  # one key in three of four blocks
+    whole = leakage.Index(base, 3).near(base)
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(leakage, "_MEETINGS", size)
+        assert all((a == b).all() for a, b in zip(leakage.Index(base, 3).near(base), whole, strict=True))
+
+
 def test_near_passages(spark):
     words = WORDS[:60]
     other = list(words)
