@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def _scanned(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame,
     """(findings, errors) of what the arguments name."""
     options = _options(args)
     if args.kind == "git-history":
-        return scan(git.history_blobs(spark, args.path, args.since), options), None
+        return scan(git.history_blobs(spark, args.path, args.since), replace(options, keep=("git", "first_commit", "age_days"))), None
     if args.kind == "staged":
         return scan(git.staged_blobs(spark, args.path), options), None
     if not args.db:

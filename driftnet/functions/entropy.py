@@ -11,6 +11,9 @@ NOISY = (".min.js", ".bundle.js", ".map", ".lock", "package-lock.json", "yarn.lo
 SAFE_LINE = (r"(?i)integrity\s*[=:]|sha(?:1|256|384|512)[-:]|md5|checksum|etag|\bdigest\b|content-hash|resolved\s*[\"']?https|\"version\"|sourcemappingurl"
              r"|\bcommit\b|\brevision\b|\bhash\b|\bfingerprint\b|base64,|font-face|cache[-_]?key|bundle[-_]?id|build[-_]?id")
 SECRET_LINE = r"(?i)secret|token|key|passwd|password|passphrase|credential|auth|signature|sig|private|session|cookie|salt|seed|dsn"
+# Shapes of tokens that are no secrets (UUIDs, digests, numbers, dates, names of several words, paths, data and colours of style sheets).
+NOISE_SHAPES = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"^[0-9a-f]{40}$|^[0-9a-f]{64}$", r"^[0-9._\-]+$", r"^\d{4}[-_]?\d{2}[-_]?\d{2}",
+                r"^[a-z0-9]{1,32}(?:[_\-][a-z0-9]{1,32}){2,8}$", r"[/\\]{1}[A-Za-z0-9_.\-]+[/\\]", r"(?i:^(?:data:|#[0-9a-f]{3,8}$|rgba?\())")
 # Bits per character from which a token counts, plain and in noisy files.
 THRESHOLD = {"hex": (3.2, 3.6), "base64": (4.3, 4.8)}
 
@@ -38,9 +41,7 @@ def looks_like_words(token: Column) -> Column:
 def structural_noise(token: Column) -> Column:
     """Whether the shape of a token explains its entropy (ids, dates, words, paths, few characters)."""
     distinct = F.size(F.array_distinct(F.split(token, "")))
-    shape = token.rlike(
-        r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^[0-9a-f]{40}$|^[0-9a-f]{64}$|^[0-9._\-]+$|^\d{4}[-_]?\d{2}[-_]?\d{2}"
-        r"|^[a-z0-9]{1,32}(?:[_\-][a-z0-9]{1,32}){2,8}$|[/\\][A-Za-z0-9_.\-]+[/\\]|(?i:^data:|^#[0-9a-f]{3,8}$|^rgba?\()")
+    shape = token.rlike("|".join(NOISE_SHAPES))
     return shape | looks_like_words(token) | (distinct <= F.greatest(F.lit(4), F.floor(F.length(token) / 8)))
 
 

@@ -19,13 +19,16 @@ SENSITIVE_KEY = (
 # Values that are no secret under any key.
 BENIGN = (r"(?i)^(?:|true|false|null|none|nil|undefined|0|1|-|n/?a|\*+|x+|\$\{[^}]*\}|\{\{[^}]*\}\}|%[A-Z_]+%|<[^>]*>|/[a-z0-9/._\-]*|\d+(?:\.\d+)*|[a-f0-9]{0,7}"
           r"|(?:changeme|example|placeholder|dummy|secret|password|your[-_ ]?\w+|todo|fixme|redacted|hidden|masked|env|default|local(?:host)?)\.?)$")
-# Names that look like credentials and are not.
+# Names that look like credentials and are not (from a public rule set, see NOTICE.md).
 HARMLESS_NAME = (
-    r"(?i)access(?:ibility|or)|access[_.-]?id|random[_.-]?access|api[_.-]?(?:id|name|version)|rapid|capital|[a-z0-9-]*?api[a-z0-9-]*?:jar:|author"
-    r"|X-MS-Exchange-Organization-Auth|Authentication-Results|credentials?[_.-]?id|withCredentials|(?:bucket|foreign|hot|idx|natural|primary|pub(?:lic)?|schema|sequence)[_.-]?key"
-    r"|turkey|key[_.-]?(?:alias|board|code|frame|id|length|mesh|name|pair|press(?:ed)?|ring|selector|signature|size|stone|storetype|word|up|down|left|right)"
-    r"|key[_.-]?vault[_.-]?(?:id|name)|keyVaultToStoreSecrets|key(?:store|tab)[_.-]?(?:file|path)|issuerkeyhash|(?-i:[DdMm]onkey|[DM]ONKEY)|keying|secret[_.-]?(?:length|name|size)"
-    r"|UserSecretsId|csrf[_.-]?token|(?:api|credentials|token)[_.-]?(?:endpoint|ur[il])|public[_.-]?token|(?:key|token)[_.-]?file")
+    r"(?i)(?:access(?:ibility|or)|access[_.-]?id|random[_.-]?access|api[_.-]?(?:id|name|version)|rapid|capital|[a-z0-9-]*?api[a-z0-9-]*?:jar:|author"
+    r"|X-MS-Exchange-Organization-Auth|Authentication-Results|(?:credentials?[_.-]?id|withCredentials)"
+    r"|(?:bucket|foreign|hot|idx|natural|primary|pub(?:lic)?|schema|sequence)[_.-]?key|(?:turkey)"
+    r"|key[_.-]?(?:alias|board|code|frame|id|length|mesh|name|pair|press(?:ed)?|ring|selector|signature|size|stone|storetype|word|up|down|left|right)"
+    r"|key[_.-]?vault[_.-]?(?:id|name)|keyVaultToStoreSecrets|key(?:store|tab)[_.-]?(?:file|path)|issuerkeyhash|(?-i:[DdMm]onkey|[DM]ONKEY)|keying"
+    r"|(?:secret)[_.-]?(?:length|name|size)|UserSecretsId|(?:csrf)[_.-]?token|(?:io\.jsonwebtoken[ \t]?:[ \t]?[\w-]+)"
+    r"|(?:api|credentials|token)[_.-]?(?:endpoint|ur[il])|public[_.-]?token|(?:key|token)[_.-]?file"
+    r"|(?-i:(?:[A-Z_]+=\n[A-Z_]+=|[a-z_]+=\n[a-z_]+=)(?:\n|\z))|(?-i:(?:[A-Z.]+=\n[A-Z.]+=|[a-z.]+=\n[a-z.]+=)(?:\n|\z)))")
 # Published in vendors' documentation, never real.  Put together from parts so that
 # no scanner takes this file for a leak.
 PUBLISHED = ("AKIAIOSFODNN7" + "EXAMPLE", "wJalrXUtnFEMI/K7MDENG/" + "bPxRfiCYEXAMPLEKEY", "AIzaSyDaGmWKa4JsXZ-" + "HjGw7ISLn_3namBGewQe",

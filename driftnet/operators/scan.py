@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftnet.functions import decode, entropy, parse, scope, text as tx, validate
+from driftnet.functions import decode, entropy, keywords, parse, scope, text as tx, validate
 from driftnet.plans.rules import BUILT_IN, PAIRS, Rule, rules_frame
 
 FINDING = ("fingerprint", "rule_id", "title", "detector", "severity", "logical_path", "source_path", "line", "column_no", "secret", "match_context",
@@ -44,6 +44,8 @@ class ScanOptions:
     #: Most findings of one blob, in the order they are met; None keeps all.
     max_per_blob: int | None = None
     redact: bool = False
+    #: Columns of the blobs that their findings keep, such as the commit they come from.
+    keep: Sequence[str] = ()
 
 
 def _quoted(value: str) -> str:
@@ -72,14 +74,19 @@ def _positions(pattern: str, group: int, number: int) -> str:
             f"if(r.w is null, acc.out, array_append(acc.out, {hit})) as out), acc -> acc.out)")
 
 
-def rule_matches(rules: Sequence[Rule]) -> Column:
+# From this many rules on one automaton looks for all their literals; below it, a search each is cheaper.
+AUTOMATON_RULES = 80
+
+
+def rule_matches(rules: Sequence[Rule], hits: str | None = None) -> Column:
     """array<struct<rule_ord, start, secret>> of all rules' matches in ``text``, in rule order.
 
     Reads the columns text, lowered and logical_path.  A rule is tried only if one of its guards stands
-    in the text and its path conditions hold."""
+    in the text (or its number in the array ``hits``, of keywords.keyword_hits) and its path conditions hold."""
     parts = []
     for i, rule in enumerate(rules):
-        when = [" or ".join(f"contains(lowered, {_quoted(g)})" for g in rule.guards)] if rule.guards else []
+        guard = f"array_contains({hits}, {i})" if hits else " or ".join(f"contains(lowered, {_quoted(g)})" for g in rule.guards)
+        when = [guard] if rule.guards else []
         when += [f"logical_path rlike {_quoted(rule.path)}"] if rule.path else []
         when += [f"not logical_path rlike {_quoted(no)}" for no in rule.not_paths]
         # One search decides; only texts with a match are split at all their matches.
@@ -94,19 +101,26 @@ def _views(blobs: DataFrame, options: ScanOptions) -> DataFrame:
     every = F.concat(plain, decode.views(F.col("text"))) if options.decoders else plain
     rows = blobs.withColumn("v", F.explode(every)).select(
         F.when(F.col("v.label") == "", F.col("logical_path")).otherwise(F.concat_ws("#", "logical_path", "v.label")).alias("logical_path"), F.col("logical_path").alias("root_path"),
-        "source_path", "media_type", "is_binary", "line_offset", "commit_line", "v.view_ord", "v.text")
+        "source_path", "media_type", "is_binary", "line_offset", "commit_line", *(("extra",) if options.keep else ()), "v.view_ord", "v.text")
     return rows.withColumn("x", F.explode(F.array(F.struct(F.lower("text").alias("lowered"), scope.boost(scope.categories(F.col("logical_path"))).alias("boost"))))).select("*", "x.*").drop("x")
 
 
-def _blobs(frame: DataFrame) -> DataFrame:
+def _blobs(frame: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Blobs with every column the scan reads; missing ones get their defaults."""
     defaults = {"source_path": F.col("logical_path"), "media_type": F.lit("text/plain"), "is_binary": F.lit(False), "line_offset": F.lit(0), "commit_line": F.lit(0)}
     out = frame.select(F.col("logical_path").cast("string"), F.col("text").cast("string"),
-                       *(F.coalesce(F.col(c), d).alias(c) if c in frame.columns else d.alias(c) for c, d in defaults.items()))
+                       *(F.coalesce(F.col(c), d).alias(c) if c in frame.columns else d.alias(c) for c, d in defaults.items()),
+                       *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("extra")] if keep else []))
     return out.where("logical_path is not null and text is not null and text <> ''")
 
 
 _KEEP = ("root_path", "logical_path", "source_path", "media_type", "is_binary", "line_offset", "commit_line", "view_ord", "boost")
+
+
+def _kept(options: ScanOptions) -> tuple[str, ...]:
+    return (*_KEEP, "extra") if options.keep else _KEEP
+
+
 #: One candidate of any pass: which pass, the rule's or tokeniser's number, where, what, and its key and line if known.
 _CANDIDATE = "array<struct<pass_ord:int,rule_ord:int,start:int,secret:string,key:string,key_line:int,bits:double>>"
 _REGEX, _TOKEN, _KEY = 0, 1, 2
@@ -171,7 +185,10 @@ def _candidates(views: DataFrame, options: ScanOptions) -> DataFrame:
     text, path = F.col("text"), F.col("logical_path")
     parts = []
     if options.regex:
-        parts.append(F.transform(F.transform(rule_matches(options.rules), _regex_secret), _as_candidate(_REGEX)))
+        hits = "hits" if len(options.rules) >= AUTOMATON_RULES else None
+        if hits:
+            views = views.withColumn(hits, keywords.keyword_hits(F.col("lowered"), [r.guards for r in options.rules]))
+        parts.append(F.transform(F.transform(rule_matches(options.rules, hits), _regex_secret), _as_candidate(_REGEX)))
     if options.entropy:
         # Only random tokens leave the generator: every candidate carries its text to the next steps.
         random = F.filter(F.transform(token_matches(), _with_bits), lambda t: t["bits"] >= entropy.threshold(entropy.charset(t["secret"]), F.lit(False)))
@@ -186,7 +203,7 @@ def _candidates(views: DataFrame, options: ScanOptions) -> DataFrame:
         # The list passes through a generator, so that the places of all candidates are found once.
         views = _once(views, every=every)
         every = _with_spans(F.col("every"))
-    return views.withColumn("h", F.explode(every)).select(*_KEEP, "text", "h.*")
+    return views.withColumn("h", F.explode(every)).select(*_kept(options), "text", "h.*")
 
 
 def _judged(rows: DataFrame, options: ScanOptions) -> DataFrame:
@@ -235,7 +252,7 @@ def _judged(rows: DataFrame, options: ScanOptions) -> DataFrame:
     graded = F.when(is_regex, F.col("severity")).when(is_token, F.when(F.col("own") > 0.6, "medium").otherwise("low")).otherwise(F.when(F.col("keyed") >= 0.7, "high").otherwise("medium"))
     titled = F.when(is_regex, F.col("title")).when(is_token, F.concat(F.lit("High-entropy "), "charset", F.lit(" string"))).otherwise(F.concat(F.lit("Sensitive key '"), leaf, F.lit("' with a literal value")))
     return rows.select(
-        *_KEEP, "pass_ord", "rule_ord", "start", F.when(is_regex, F.col("rule_id")).when(is_token, F.concat(F.lit("entropy."), "charset")).otherwise("keyname.sensitive-assignment").alias("rule_id"),
+        *_kept(options), "pass_ord", "rule_ord", "start", F.when(is_regex, F.col("rule_id")).when(is_token, F.concat(F.lit("entropy."), "charset")).otherwise("keyname.sensitive-assignment").alias("rule_id"),
         titled.alias("title"), F.when(is_regex, "regex").when(is_token, "entropy").otherwise("keyname").alias("detector"), graded.alias("severity"),
         "secret", "match_context", "at_line", "column_no", F.bround(sure, 3).alias("confidence"), F.when(~is_regex, F.bround("bits", 3)).alias("entropy"),
         F.when(in_text, tx.key_near(F.col("line_text"))).otherwise(F.col("key")).alias("key_name"),
@@ -249,12 +266,13 @@ def scan(blobs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     lines), commit_line (first line, from 1, the blob owns).  Blobs with a null
     path, a null text or an empty text give nothing; repeated blobs give their
     findings once; other columns are ignored.  A value met in the plain text is
-    not reported again from a decoded view.  With ``redact`` no context shows a
+    not reported again from a decoded view.  Columns named in ``keep`` come with
+    the findings of their blob.  With ``redact`` no context shows a
     value any pass takes for a candidate, also one that is cut off by the
     context's edge: they are hidden by their places in the text, before anything
     is shuffled.
     """
-    views = _views(_blobs(blobs), options)
+    views = _views(_blobs(blobs, options.keep), options)
     found = _judged(_candidates(views, options), options)
     decoded = F.col("view_ord") > 0
     found = found.where("at_line >= commit_line").withColumns({
@@ -277,7 +295,7 @@ def scan(blobs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
         # Contexts of the text are hidden by place already; a key's context is made of its key and value.
         out = out.withColumns({"match_context": F.replace("match_context", F.col("secret"), tx.redact(F.col("secret"))), "secret": tx.redact(F.col("secret")),
                                "secret_v2": tx.redact(F.col("secret_v2"))})
-    return out.select(*FINDING)
+    return out.select(*FINDING, *(F.col(f"extra.`{c}`") for c in options.keep))
 
 
 def _has_rule(rule_id: str):  # noqa: ANN202

@@ -7,8 +7,10 @@ fills it.  A crawl is a loop of joins over that table, one level per round.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,6 +144,76 @@ def parse_policy(text: str, agent: str = "*") -> dict:
     return {"allow": [p for v in fields.get("allow", []) for p in v.split()], "disallow": disallow, "delay": delay, "denied": "/" in disallow, "fields": {k: v[-1] for k, v in fields.items()}}
 
 
+def policies(files: DataFrame, agent: str = "*") -> DataFrame:
+    """host, allow, disallow, delay, denied of ``files(host, text)``, the sites' policy files.
+
+    Of several files of a host the greatest text counts; a null text allows all."""
+    @F.pandas_udf("allow array<string>, disallow array<string>, delay double, denied boolean")
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        rows = [parse_policy(t or "", agent) for t in texts]
+        return pd.DataFrame({k: [r[k] for r in rows] for k in ("allow", "disallow", "delay", "denied")})
+
+    one = files.where("host is not null").groupBy(F.lower("host").alias("host")).agg(F.max("text").alias("text"))
+    return one.select("host", parsed("text").alias("p")).select("host", "p.*")
+
+
+def policy_allows(path: Column, allow: Column, disallow: Column) -> Column:
+    """As ``path_allowed`` with patterns in array columns: the longest that matches decides, allow on a tie, none allows."""
+    def longest(globs: Column) -> Column:
+        def matched(g: Column) -> Column:
+            body = F.regexp_replace(F.regexp_replace(g, r"\$$", ""), r"([.+?^${}()|\[\]\\])", r"\\$1")
+            pattern = F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(F.endswith(g, F.lit("$")), "$").otherwise(""))
+            return F.when((g != "") & F.regexp_like(path, pattern), F.length(g))
+
+        return F.coalesce(F.array_max(F.transform(globs, matched)), F.lit(-1))
+
+    return longest(allow) >= longest(disallow)
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^https?://(?:[^@/?#]*@)?([^/?#]*)", 1))
+
+
+def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, bytes]], sites: DataFrame | None = None, delay: float = 0.0, most_bytes: int = 16 << 20) -> DataFrame:
+    """url, status, content, message of each distinct address of ``urls(url)``.
+
+    ``fetch(url) -> (status, bytes)`` runs in the executors.  Addresses a policy
+    of ``sites`` (as of ``policies``) forbids are not asked for and come with a
+    message, as do failed and oversized answers.  A host is asked by one task at
+    a time with the longer of ``delay`` and its policy's between two requests:
+    that a large site takes long is what its policy wants.
+    """
+    rows = urls.where(F.col("url").rlike("^https?://")).select("url", host_of(F.col("url")).alias("host")).distinct()
+    if sites is None:
+        rows = rows.withColumns({"delay": F.lit(float(delay)), "open": F.lit(True)})
+    else:
+        path = F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/"))
+        rows = rows.join(sites, "host", "left").withColumns({"open": F.coalesce(~F.col("denied") & policy_allows(path, F.col("allow"), F.col("disallow")), F.lit(True)), "delay": F.greatest(F.lit(float(delay)), "delay")})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, float] = {}
+        for batch in batches:
+            out = []
+            for url, host, wait, allowed in zip(batch["url"], batch["host"], batch["delay"], batch["open"], strict=True):
+                if not allowed:
+                    out.append((url, None, None, "forbidden by the site's policy"))
+                    continue
+                left = last.get(host, 0.0) + wait - time.monotonic()
+                if host in last and left > 0:
+                    time.sleep(left)
+                try:
+                    status, body = fetch(url)
+                    message = f"http {status}" if status != 200 else "too large" if len(body) > most_bytes else ""
+                    out.append((url, status, None if message else body, message))
+                except Exception as error:  # noqa: BLE001 - a failed request is a row
+                    out.append((url, None, None, type(error).__name__))
+                last[host] = time.monotonic()
+            frame = pd.DataFrame(out, columns=["url", "status", "content", "message"])
+            yield frame.assign(status=frame["status"].astype("Int32"))
+
+    return rows.repartition("host").select("url", "host", "delay", "open").mapInPandas(run, "url string, status int, content binary, message string")
+
+
 def llms_links(text: Column, base: Column) -> Column:
     """Targets of the Markdown links of an llms.txt on the same host, each once, in order."""
     hrefs = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(\s*<?([^)\s>]+)"), F.lit(1))

@@ -165,3 +165,24 @@ def test_reports_show_no_neighbour(spark):
     got = {r["fingerprint"]: r for r in report.redacted(spark.createDataFrame(rows, "fingerprint string, rule_id string, logical_path string, secret string, match_context string, secret_v2 string")).collect()}
     assert key not in str(got) and word not in str(got) and "tiny5" not in str(got)
     assert got["f3"]["match_context"] is None and got["f3"]["secret"] is None and len(got) == 3
+
+
+def test_findings_keep_columns_of_their_blob(spark):
+    token = made("glpat" + "-", 20)
+    blobs = spark.createDataFrame([("a.txt", f"x {token}", ("c1", "dev"), 7)], "logical_path string, text string, git struct<commit:string,author:string>, `age days` int")
+    row = scan(blobs, ScanOptions(entropy=False, keynames=False, keep=("git", "age days"))).first()
+    assert row["git"]["author"] == "dev" and row["age days"] == 7 and row["secret"] == token
+
+
+def test_automaton_equals_the_guards(spark, monkeypatch):
+    from driftnet.functions import keywords
+    from driftnet.operators import scan as operator
+
+    guards = tuple(tuple(r.guards) for r in rules.BUILT_IN)
+    for text in ("", "nothing here", "sk-ant-api", "xakia sk_live_ ghp_ eyj", "password = token", "-----begin x", "aakiaakia::"):
+        assert keywords.guarded(text, guards) == [i for i, g in enumerate(guards) if any(w in text for w in g)]
+    assert keywords.guarded("x", ()) == [] and keywords.guarded("x", ((),)) == []
+    rows = [(f"{i}.txt", f"a = {made('glpat' + '-', 20)}\nhttp://10.0.0.{i}/x password='{made('', 20)}' 1.2.3.{i}") for i in range(20)]
+    with_guards = sorted((r["rule_id"], r["line"], r["secret"]) for r in scanned(spark, rows, min_severity="info", entropy=False, keynames=False))
+    monkeypatch.setattr(operator, "AUTOMATON_RULES", 1)
+    assert sorted((r["rule_id"], r["line"], r["secret"]) for r in scanned(spark, rows, min_severity="info", entropy=False, keynames=False)) == with_guards and len(with_guards) > 40

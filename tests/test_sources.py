@@ -248,3 +248,24 @@ def test_contract(spark, sf):
     assert set(e.oracle_sql()) <= names and {"p4_found", "scan_blobs"} <= names
     for name in ("p4_found", "severity_counts", "format_matches"):
         e.queries()[name](spark, sf).count()
+
+
+def test_policies_and_fetching(spark):
+    robots = "User-agent: *\nDisallow: /private/\nDisallow: /*.zip$\nAllow: /private/open\nCrawl-delay: 0.2\n"
+    sites = web.policies(spark.createDataFrame([("H.example", robots), ("other.example", None), (None, robots)], "host string, text string"))
+    got = {r["host"]: r for r in sites.collect()}
+    assert got["h.example"]["disallow"] == ["/private/", "/*.zip$"] and got["h.example"]["delay"] == 0.2 and got["other.example"]["disallow"] == []
+    urls = ["https://h.example/a", "https://h.example/private/x", "https://h.example/private/open/y", "https://h.example/b.zip", "https://h.example/b.zip.txt", "https://other.example/fail", "https://new.example/big", "ftp://x/", "https://h.example/a"]
+
+    def fetch(url):
+        if url.endswith("fail"):
+            raise TimeoutError
+        return (404, b"") if url.endswith("txt") else (200, b"x" * (100 if url.endswith("big") else 3))
+
+    pages = web.fetched(spark.createDataFrame([(u,) for u in urls], "url string"), fetch, sites, most_bytes=50)
+    rows = {r["url"]: (r["status"], None if r["content"] is None else bytes(r["content"]), r["message"]) for r in pages.collect()}
+    no = (None, None, "forbidden by the site's policy")
+    assert rows == {urls[0]: (200, b"xxx", ""), urls[1]: no, urls[2]: (200, b"xxx", ""), urls[3]: no, urls[4]: (404, None, "http 404"), urls[5]: (None, None, "TimeoutError"), urls[6]: (200, None, "too large")}
+    for path in ("/private/", "/private/open", "/x.zip", "/x.zipper", "/"):
+        one = spark.range(1).select(web.policy_allows(F.lit(path), F.array(F.lit("/private/open")), F.array(F.lit("/private/"), F.lit("/*.zip$"))), web.path_allowed(F.lit(path), ["/private/open"], ["/private/", "/*.zip$"])).first()
+        assert one[0] == one[1]
