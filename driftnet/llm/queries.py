@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftnet.llm import credentials, garbled, history, leakage, mixing, sentences, splitting
+from driftnet.llm.common import one_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.credential_places(_table(spark, sf_dir, "blob_texts")).select("blob_id", "line_no").distinct()
 
 
+def p5_redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts with their credential values made unreadable, one per blob_id."""
+    texts = _table(spark, sf_dir, "blob_texts").where("blob_id is not null").select("blob_id", "text")
+    return credentials.redacted(one_text(texts, "blob_id"), "text")
+
+
 def p5_redacted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir, "findings").select("fingerprint", "rule_id", "secret", "match_context")
     return credentials.redacted_findings(found)
@@ -125,7 +132,7 @@ def p8_line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_repaired_lines, p2_found, p2_verdicts, p2_refreshed_history, p3_found, p3_pieces, p3_rejoined, p5_found,
-        p5_redacted_findings, p6_found, p6_leaks, p7_mixture, p7_source_shares, p7_draw_bounds, p8_found, p8_sentences, p8_line_units)}
+        p5_redacted_texts, p5_redacted_findings, p6_found, p6_leaks, p7_mixture, p7_source_shares, p7_draw_bounds, p8_found, p8_sentences, p8_line_units)}
 
 
 def oracle_sql() -> dict[str, str]:
