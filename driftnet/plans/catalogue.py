@@ -111,14 +111,9 @@ def scan_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redacted_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as a report shows them: rows, contexts, and contexts that still show a known value of their path."""
     rows = _findings(spark, sf_dir).select("fingerprint", "logical_path", "secret", "match_context")
-    shown = report.redacted(rows)
-    # Values of eight characters and more that are not masked in the table; their first eight find them in a context.
-    known = rows.where(r"length(secret) >= 8 and not secret rlike '[*]{2}|[.]{3}|…'").select("logical_path", F.col("secret").alias("known"), F.substring("secret", 1, 8).alias("k")).distinct()
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("match_context") - 7), lambda i: F.substring(F.col("match_context"), i, F.lit(8))))
-    asked = shown.where("length(match_context) >= 8").select("logical_path", "match_context").distinct().select("logical_path", "match_context", F.explode(starts).alias("k"))
-    leaks = asked.join(known, ["logical_path", "k"]).where(F.contains("match_context", F.col("known"))).agg(F.count(F.lit(1)).alias("n_leaks"), F.lit(1).alias("_k"))
-    counts = shown.agg(F.count(F.lit(1)).alias("n"), F.count("match_context").alias("n_contexts"), F.count("secret").alias("n_secrets"), F.lit(1).alias("_k"))
-    return counts.join(leaks, "_k").drop("_k")  # two single rows
+    # Values of eight characters and more that are not masked in the table.
+    known = F.expr(r"case when length(secret) >= 8 and not secret rlike '[*]{2}|[.]{3}|…' then secret end")
+    return report.shown_values(report.redacted(rows.withColumn("known", known)))
 
 
 _FORMATS = ("aws.access-key-id", "gcp.api-key", "gitlab.token", "slack.token", "stripe.secret-key", "npm.token", "sendgrid.api-key", "crypto.private-key", "generic.internal-url", "generic.database-uri", "generic.basic-auth-url")
